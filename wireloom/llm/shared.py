@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,3 +22,8 @@ def kept(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, so that lost executors cost no more than a reread."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bounded(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """A kept table, marked for broadcast if its counted rows, of row_bytes at most, fit in `most` bytes; else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
