@@ -174,16 +174,17 @@ class Rows:
     """Sparse training rows over the buckets that at least `least` rows hold; further dense columns may follow."""
 
     def __init__(self, ids: list[np.ndarray], values: list[np.ndarray], least: int = 4):
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        at, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = n >= least
-        place = np.cumsum(keep) - 1
-        ok = keep[inverse] if len(flat) else np.zeros(0, bool)
-        row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        self.buckets = at[keep]
-        self.n, self.width = len(ids), int(keep.sum())
-        self.row, self.col = row[ok], place[inverse][ok] if len(flat) else np.zeros(0, np.int64)
-        self.val = (np.concatenate(values) if ids else np.zeros(0))[ok].astype(np.float64)
+        at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_counts=True)
+        self.buckets = at[n >= least]
+        self.n, self.width = len(ids), len(self.buckets)
+        row, col, val = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for k, (x, v) in enumerate(zip(ids, values)):
+            found = np.searchsorted(self.buckets, x)
+            ok = self.buckets[np.minimum(found, self.width - 1)] == x if self.width else np.zeros(len(x), bool)
+            row.append(np.full(int(ok.sum()), k, np.int32))
+            col.append(found[ok].astype(np.int32))
+            val.append(v[ok].astype(np.float32))
+        self.row, self.col, self.val = map(np.concatenate, (row, col, val))
 
     def fit(self, y: np.ndarray, rows: np.ndarray, dense: np.ndarray, l2: float = 2e-3, steps: int = 80, least_z: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
         """Logistic regression on some rows by full-batch Adam: weights of buckets, of dense columns, and the bias.

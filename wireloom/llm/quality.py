@@ -24,7 +24,7 @@ from wireloom.llm.features import Grams, Rows, folds, platt, score, sigmoid
 from wireloom.llm.sample import labelled
 
 #: Labelled rows that the classifier is fitted on, at most.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Documents whose probability of good quality is lower are rejected.
 KEEP = 0.5
 SPEC = Grams(words=(1, 2), chars=(3,), bits=18)
