@@ -44,6 +44,8 @@ class Grams:
     words: tuple[int, ...] = (1, 2)
     chars: tuple[int, ...] = (3,)
     bits: int = 18
+    #: Lengths of the beginnings of words that count too, of words as long or longer.
+    starts: tuple[int, ...] = ()
     #: Whether ASCII punctuation ends a word, as white space does.
     letters: bool = False
     #: Whether a bucket's value is 1 wherever it occurs, rather than its count over the root of all counts.
@@ -51,7 +53,7 @@ class Grams:
 
     @property
     def families(self) -> int:
-        return len(self.words) + len(self.chars)
+        return len(self.words) + len(self.starts) + len(self.chars)
 
 
 def bucket(h: np.ndarray, family: int, bits: int) -> np.ndarray:
@@ -111,6 +113,12 @@ def grams(parts: list[str], spec: Grams) -> Iterator[tuple[np.ndarray, np.ndarra
         bounds = np.concatenate(([0], np.cumsum(np.maximum(last - first - n + 1, 0))))
         yield bucket(h[keep], family, spec.bits), bounds
         family += 1
+    for n in spec.starts:
+        long = end - begin >= n
+        so_far = np.concatenate(([0], np.cumsum(long)))
+        h = (total[begin[long] + n] - total[begin[long]]) * back[begin[long]]
+        yield bucket(h, family, spec.bits), np.concatenate(([0], np.cumsum(so_far[last] - so_far[first])))
+        family += 1
     for n in spec.chars:
         h = (total[n:] - total[:-n]) * back[: len(codes) + 1 - n] if len(codes) >= n else total[:0]
         keep = np.ones(len(h), dtype=bool)

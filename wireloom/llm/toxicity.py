@@ -1,6 +1,6 @@
 """Toxicity categories by a classifier chain.
 
-Each category has a linear model over hashed words.  Later models also see the
+Each category has a linear model over hashed words and beginnings of words (stems with endings).  Later models also see the
 probabilities of the earlier categories; in training these are out-of-fold predictions, so a
 later model learns from probabilities as they will be on unseen text.  The tables' only
 toxicity label is `toxic`; the categories before it are weak labels: a toxic row that holds a
@@ -31,7 +31,7 @@ SAMPLE = 4000
 TOXIC = 0.15
 #: Buckets whose share of rows differs less between the classes, in standard errors, get no weight.
 LEAST_Z = 4.0
-SPEC = Grams(words=(1,), chars=(), bits=40, letters=True, presence=True)
+SPEC = Grams(words=(1,), chars=(), bits=40, starts=(3, 4, 5, 6), letters=True, presence=True)
 #: Seed words of the weakly labelled categories; `toxic` itself is labelled and ends the chain.
 SEEDS = {
     "insult": ["idiot", "moron", "loser", "clown", "scum"],
