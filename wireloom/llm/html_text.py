@@ -52,7 +52,8 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, out: bool, mark: str = ""):
         self.tag, self.parent, self.out = tag, parent, out
-        self.path = (parent.path if parent else "") + "/" + tag + mark
+        #: Stands for the tags, with their classes, from the root to here.
+        self.path = hash((parent.path if parent else 0, tag, mark))
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -205,7 +206,7 @@ def implied(node: Node, tag: str) -> Node:
 
 def ratios(found: list[tuple[Node, str]]) -> list[float]:
     """Per block its path's fused ratio: smoothed text length and punctuation per block of the path."""
-    paths: dict[str, list[int]] = {}
+    paths: dict[int, list[int]] = {}
     for node, text in found:
         sums = paths.setdefault(node.path, [0, 0, 0])
         sums[0] += len(text)
