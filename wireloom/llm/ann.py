@@ -150,7 +150,7 @@ def search(embeddings: DataFrame, top: int = TOP, every: int = EVERY) -> DataFra
     # at most LISTS rows each
     many = dict(map(tuple, placed.groupBy("list").count().collect()))
     wanted = dict(map(tuple, asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()))
-    block = min(MOST, max(LEAST, -(-n // len(index.centroids))))
+    block = min(MOST, max(LEAST, -(-2 * n // len(index.centroids))))
     share = F.array(*[F.lit(-(-many.get(k, 0) // block) or 1) for k in range(len(index.centroids))])
     turns = F.array(*[F.lit(-(-wanted.get(k, 0) // QUERIES) or 1) for k in range(len(index.centroids))])
     left = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(share, F.col("list"))).cast("int"))
