@@ -111,3 +111,36 @@ def best_classes(near: DataFrame, floor: float, most: int = 3) -> DataFrame:
     best = near.groupBy("query_id", "label").agg(F.max(F.round("similarity", 6)).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "label"))
     return best.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("above", F.col("similarity") >= floor)
+
+
+def probe(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, classes: list[str], most: int = 3) -> DataFrame:
+    """(query_id, rank, class, probability): a linear probe's leading classes of rows (query_id, v). The weights are one small matrix."""
+    held = rows.sparkSession.sparkContext.broadcast((np.asarray(weights, float), np.asarray(bias, float)))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1) @ w.T + b
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            top = np.argsort(-p, axis=1, kind="stable")[:, :most]
+            n = top.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(top))), pa.array([classes[k] for k in top.ravel()]), pa.array(np.take_along_axis(p, top, 1).ravel())],
+                names=["query_id", "rank", "class", "probability"],
+            )
+
+    return rows.select("query_id", "v").mapInArrow(make, "query_id long, rank int, class string, probability double")
+
+
+def template_of(winners: DataFrame, matched: DataFrame, library: DataFrame, by: list[str]) -> DataFrame:
+    """Each winner's library entry: the one it matched (by..., class, entry), else the class's upright plain one, else its first.
+
+    library: class, entry (its order), turn, mirrored.  Winners of a class without entries have a null entry.
+    """
+    plain = (F.col("turn") == 0) & ~F.col("mirrored")
+    usual = library.groupBy("class").agg(F.min(F.struct((~plain).alias("odd"), "entry")).alias("e")).select("class", F.col("e.entry").alias("usual"))
+    own = matched.groupBy(*by, "class").agg(F.min("entry").alias("own"))
+    return winners.join(own, [*by, "class"], "left").join(usual, "class", "left").withColumn("entry", F.coalesce("own", "usual")).drop("own", "usual")
