@@ -78,6 +78,13 @@ def thin(mask: np.ndarray, width: int = 4) -> np.ndarray:
     return mask & ~thick(mask, width)
 
 
+def first(root: np.ndarray, k: int) -> int:
+    while root[k] != k:
+        root[k] = root[root[k]]
+        k = root[k]
+    return k
+
+
 def labels(mask: np.ndarray) -> np.ndarray:
     """Numbers of 8-connected components from 1 on, in order of their first pixel; 0 for the rest."""
     ys, xs = np.nonzero(mask)
@@ -87,10 +94,7 @@ def labels(mask: np.ndarray) -> np.ndarray:
     for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
         other = shifted(number + 1, -dy, -dx, 0)[ys, xs] - 1
         for a, b in zip(np.flatnonzero(other >= 0), other[other >= 0]):
-            while root[a] != a:
-                a = root[a] = root[root[a]]
-            while root[b] != b:
-                b = root[b] = root[root[b]]
+            a, b = first(root, a), first(root, b)
             root[max(a, b)] = min(a, b)
     for k in range(len(root)):
         root[k] = root[root[k]]

@@ -7,6 +7,7 @@ changed without pictures.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def transistor_or_potentiometer(circle: Column, rectangle: Column) -> Column:
 
 def shape_facts(crops: DataFrame) -> DataFrame:
     """Adds the facts to crops (height, width, data: one gray byte a pixel); a column per fact, null where there are none."""
-    import pandas as pd
-
     @F.pandas_udf(FACTS)
     def read(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.DataFrame:
         rows = [facts(np.frombuffer(d, np.uint8).reshape(a, b)) if d is not None else None for a, b, d in zip(h, w, data)]

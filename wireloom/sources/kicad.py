@@ -98,8 +98,8 @@ def bounds(primitives: DataFrame, by: list[str]) -> DataFrame:
     """Per symbol the box of all points, circles with their radius and pins with their inner ends; 2.54 around 0 for symbols without points."""
     ends = F.expr("""
         CASE kind
-          WHEN 'circle' THEN array(struct(points[0].x - radius, points[0].y - radius), struct(points[0].x + radius, points[0].y + radius))
-          WHEN 'pin' THEN array(points[0], struct(points[0].x + length * cos(radians(angle)), points[0].y + length * sin(radians(angle))))
+          WHEN 'circle' THEN array(named_struct('x', points[0].x - radius, 'y', points[0].y - radius), named_struct('x', points[0].x + radius, 'y', points[0].y + radius))
+          WHEN 'pin' THEN array(points[0], named_struct('x', points[0].x + length * cos(radians(angle)), 'y', points[0].y + length * sin(radians(angle))))
           ELSE points END
     """).cast("array<struct<x:double,y:double>>")
     p = primitives.select(*by, F.explode_outer(ends).alias("p"))

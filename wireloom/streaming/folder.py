@@ -18,7 +18,7 @@ from wireloom.sources.drawings import GOLDEN, stem, symbols
 
 def arriving(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
     """A stream of drawing files (JSON) as drawing_id, verified, symbols; at most so many files a batch."""
-    read = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", most).text(path)
+    read = spark.readStream.schema("value string").option("maxFilesPerTrigger", most).text(path, wholetext=True)
     parsed = read.select(stem(F.col("_metadata.file_path")).alias("drawing_id"), F.from_json("value", GOLDEN).alias("d"))
     return parsed.select("drawing_id", F.coalesce("d._connectivity_verified", F.lit(False)).alias("verified"), F.coalesce("d.symbols", F.array()).alias("symbols"))
 
