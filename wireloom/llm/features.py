@@ -269,9 +269,11 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
         x = x - step
         if abs(step).max() < 1e-7:
             break
-    return float(x[0]), float(x[1])
+    # a falling slope only comes of scores that say nothing
+    return (float(x[0]), float(x[1])) if x[0] > 0 else (1.0, 0.0)
 
 
-def folds(n: int, k: int = 4) -> list[np.ndarray]:
-    """Row numbers dealt to k folds in turn."""
-    return [np.arange(i, n, k) for i in range(min(k, n))]
+def folds(y: np.ndarray, k: int = 4) -> list[np.ndarray]:
+    """Row numbers in k folds; each class's rows are dealt in turn."""
+    dealt = [np.concatenate([np.flatnonzero(y == c)[i::k] for c in np.unique(y)]) for i in range(k)] if len(y) else []
+    return [np.sort(f) for f in dealt if len(f)]

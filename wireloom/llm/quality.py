@@ -56,7 +56,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     rows = Rows(at, value)
     none = np.zeros((rows.n, 0))
     out = np.zeros(rows.n)
-    for held in folds(rows.n):
+    for held in folds(y):
         rest = np.setdiff1d(np.arange(rows.n), held)
         out[held] = rows.logits(*rows.fit(y, rest, none), none)[held]
     slope, shift = platt(out, y)

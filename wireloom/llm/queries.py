@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wireloom.llm import ann, bpe, html_text, lm_score, packing, quality, simhash, toxicity, url_filter, warc
+from wireloom.shipping import shipped
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_QUERIES = {
     "op1_warc": warc.query,
     "op2_toxicity": toxicity.query,
     "op3_html_text": html_text.query,
@@ -21,4 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": simhash.query,
 }
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(f) for name, f in _QUERIES.items()}
+
 SQL: dict[str, str] = {"op1_warc": warc.SQL, "op4_url_filter": url_filter.SQL}

@@ -76,7 +76,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
             earlier = np.column_stack((earlier, np.full(rows.n, links[-1])))
             continue
         out = np.zeros(rows.n)
-        for held in folds(rows.n):
+        for held in folds(y):
             out[held] = rows.logits(*rows.fit(y, np.setdiff1d(everyone, held), earlier, steps=200, least_z=LEAST_Z), earlier)[held]
         slope, shift = platt(out, y)
         w, u, bias = rows.fit(y, everyone, earlier, steps=200, least_z=LEAST_Z)
