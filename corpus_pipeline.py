@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wireloom.llm import packing, quality, simhash, toxicity
 from wireloom.llm.shared import folder
+from wireloom.shipping import shipped
 
 STAGES = [
-    ("quality rules", quality.stage),
-    ("toxicity", toxicity.stage),
-    ("simhash near-dedup", simhash.stage),
-    ("packing", packing.stage),
+    ("quality rules", shipped(quality.stage)),
+    ("toxicity", shipped(toxicity.stage)),
+    ("simhash near-dedup", shipped(simhash.stage)),
+    ("packing", shipped(packing.stage)),
 ]
 
 #: The classifiers can't be expressed in SQL.
