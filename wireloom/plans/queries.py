@@ -11,6 +11,7 @@ from wireloom.functions import geometry as G
 from wireloom.functions import text as T
 from wireloom.operators import boxes, evidence, graph, matching, runs, text
 from wireloom.plans import bind, evaluate
+from wireloom.shipping import shipped
 from wireloom.sinks import netlists
 from wireloom.sources import domains
 
@@ -19,7 +20,7 @@ D = "drawing_id"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__] = shipped(f)
     return f
 
 
