@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from wireloom.config import Config
 from wireloom.operators import raster, specialists
 from wireloom.plans import pictures
@@ -181,3 +182,19 @@ def test_picture_to_nets(spark, tmp_path):
     assert pictures.nets(images, symbols).select("net_ord").distinct().count() == 2
     given = pictures.boxes(images, detect=lambda g: [{"x0": 0, "y0": 0, "x1": g.shape[1], "y1": 5, "kind": "symbol", "class": "R", "confidence": 0.5, "source": "own"}])
     assert [(b.x1, b["class"]) for b in given.collect()] == [(160, "R")]
+
+
+def test_readings(spark):
+    from wireloom.sources import readings
+
+    rows = [(1, 0, " R1 ", "95.5", 30, 60, 30, 12, 0), (1, 1, "C2", "n/a", 0, 0, 3, 3, 0), (1, 2, "  ", "90", 0, 0, 3, 3, 0), (1, 3, "L3", "-1", 0, 0, 3, 3, 0), (1, 4, "Q4", "0", 12, 30, 9, 6, 90), (1, 5, "D5", None, 0, 0, 3, 3, 0)]
+    raw = spark.createDataFrame([(*r, 300, 150) for r in rows], "drawing_id int, ord int, text string, conf string, left int, top int, width int, height int, orientation int, page_width int, page_height int")
+    got = {r.ord: tuple(r)[2:] for r in readings.tokens(raw).collect()}
+    assert got == {0: ("R1", 10, 20, 20, 24, 0.955, 0), 4: ("Q4", 10, 43, 12, 46, 0.0, 90)}
+    raw = spark.createDataFrame([(0, -3.0, 5.0, 10.0, 4.0, 0.9), (1, 200.0, 5.0, 10.0, 4.0, 0.9), (2, 50.0, 5.0, 10.0, 4.0, 0.1)], "k int, x double, y double, width double, height double, confidence double")
+    raw = raw.withColumns({"page_width": F.lit(100), "page_height": F.lit(50)})
+    assert [(r.k, r.x0, r.y0, r.x1, r.y1) for r in readings.detections(raw, 0.35).collect()] == [(0, 0, 3, 2, 7)]
+    asked = spark.createDataFrame([("a",), ("a",), ("b",)], "content string").withColumn("key", readings.key(F.col("content"), "m", "s"))
+    assert all(len(r.key) == 16 for r in asked.collect())
+    cache = asked.where("content = 'b'").select("key")
+    assert [r.content for r in readings.unanswered(asked, cache).collect()] == ["a"]

@@ -191,4 +191,15 @@ FROM gold g LEFT JOIN l ON g.drawing_id = l.drawing_id AND g.idx = l.idx GROUP B
   UNION ALL SELECT DISTINCT drawing_id, 0, '<node id="' || printf('N%03d', net_ord) || '"><data key="kind">net</data><data key="label"></data></node>' FROM members
   UNION ALL SELECT drawing_id, 1, '<edge source="' || {_ID('idx')} || '" target="' || printf('N%03d', net_ord) || '"/>' FROM members)
 SELECT drawing_id, '{START}' || string_agg(line, '' ORDER BY k, line) || '</graph></graphml>' AS xml FROM rows GROUP BY 1""",
+    "ocr_tokens": f"""WITH {_SRC}, r AS (SELECT drawing_id, idx AS ord, trim(CASE WHEN l_partkey % 7 = 0 THEN '  ' ELSE ' R' || l_linenumber || ' ' END) AS text,
+  coalesce(TRY_CAST(CASE WHEN l_suppkey % 9 = 0 THEN 'n/a' WHEN l_suppkey % 9 = 1 THEN '-1' ELSE CAST(l_partkey % 101 AS VARCHAR) END AS DOUBLE), -1) / 100 AS confidence,
+  l_partkey % 200 AS a, l_suppkey % 150 AS b, l_partkey % 200 + CAST(l_quantity AS INTEGER) + 1 AS c, l_suppkey % 150 + l_linenumber + 4 AS d, CAST(90 * (l_partkey % 4) AS INTEGER) AS orientation FROM src),
+u AS (SELECT *, CASE orientation WHEN 0 THEN a WHEN 90 THEN b WHEN 180 THEN 300 - c ELSE 300 - d END AS x0, CASE orientation WHEN 0 THEN b WHEN 90 THEN 240 - c WHEN 180 THEN 240 - d ELSE a END AS y0,
+  CASE orientation WHEN 0 THEN c WHEN 90 THEN d WHEN 180 THEN 300 - a ELSE 300 - b END AS x1, CASE orientation WHEN 0 THEN d WHEN 90 THEN 240 - a WHEN 180 THEN 240 - b ELSE c END AS y1 FROM r)
+SELECT drawing_id, ord, text, CAST(floor(x0 / 3) AS INTEGER) AS x0, CAST(floor(y0 / 3) AS INTEGER) AS y0, CAST(floor(x1 / 3) AS INTEGER) AS x1, CAST(floor(y1 / 3) AS INTEGER) AS y1, confidence, orientation
+FROM u WHERE text <> '' AND confidence >= 0""",
+    "detection_boxes": f"""WITH {_SRC}, r AS (SELECT drawing_id, idx, (l_partkey % 150) - CAST(20.25 AS DOUBLE) AS x, (l_suppkey % 120) - CAST(20.5 AS DOUBLE) AS y, l_quantity AS w, CAST(l_linenumber * 5 AS DOUBLE) AS h FROM src),
+c AS (SELECT drawing_id, idx, greatest(CAST(trunc(x - w / 2) AS INTEGER), 0) AS x0, greatest(CAST(trunc(y - h / 2) AS INTEGER), 0) AS y0, least(CAST(trunc(x + w / 2) AS INTEGER), 100) AS x1, least(CAST(trunc(y + h / 2) AS INTEGER), 80) AS y1 FROM r)
+SELECT * FROM c WHERE x1 > x0 AND y1 > y0""",
+    "response_keys": "SELECT substr(sha1(text || '|model|conf=0.35'), 1, 16) AS key, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",
 }

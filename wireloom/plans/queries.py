@@ -13,7 +13,7 @@ from wireloom.operators import boxes, evidence, graph, matching, runs, text
 from wireloom.plans import bind, evaluate
 from wireloom.shipping import shipped
 from wireloom.sinks import netlists
-from wireloom.sources import domains
+from wireloom.sources import domains, readings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 D = "drawing_id"
@@ -304,3 +304,32 @@ def signature_hash(spark, sf_dir):
 def report_export(spark, sf_dir):
     report = evaluate.detection(*_matched(spark, sf_dir))
     return report.select("scope", F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("tp", "fp", "fn", "correct")]).alias("line"))
+
+
+@query
+def ocr_tokens(spark, sf_dir):
+    lines = bind.lines(spark, sf_dir)
+    raw = lines.select(
+        D, F.col("idx").alias("ord"), F.expr("case when l_partkey % 7 = 0 then '  ' else concat(' R', l_linenumber, ' ') end").alias("text"),
+        F.expr("case when l_suppkey % 9 = 0 then 'n/a' when l_suppkey % 9 = 1 then '-1' else cast(l_partkey % 101 as string) end").alias("conf"),
+        F.expr("cast(l_partkey % 200 as int)").alias("left"), F.expr("cast(l_suppkey % 150 as int)").alias("top"), F.expr("cast(l_quantity as int) + 1").alias("width"),
+        F.expr("l_linenumber + 4").alias("height"), F.expr("cast(90 * (l_partkey % 4) as int)").alias("orientation"), F.lit(300).alias("page_width"), F.lit(240).alias("page_height"),
+    )
+    return readings.tokens(raw)
+
+
+@query
+def detection_boxes(spark, sf_dir):
+    lines = bind.lines(spark, sf_dir)
+    raw = lines.select(
+        D, "idx", F.expr("(l_partkey % 150) - 20.25D").alias("x"), F.expr("(l_suppkey % 120) - 20.5D").alias("y"), F.col("l_quantity").alias("width"), F.expr("cast(l_linenumber * 5 as double)").alias("height"),
+        F.expr("l_discount * 10").alias("confidence"), F.lit(100).alias("page_width"), F.lit(80).alias("page_height"),
+    )
+    return readings.detections(raw).select(D, "idx", "x0", "y0", "x1", "y1")
+
+
+@query
+def response_keys(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = docs.select("doc_id", readings.key(F.col("text"), "model", "conf=0.35").alias("key"))
+    return asked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
