@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Code points handled at once; a longer text is taken in pieces (no n-gram crosses a piece).
-PIECE = 1 << 20
+PIECE = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(128, dtype=bool)
