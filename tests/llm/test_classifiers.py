@@ -21,7 +21,9 @@ def plain_counts(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
-def test_counts_match_the_definition():
+@pytest.mark.parametrize("long", [1 << 22, -1])
+def test_counts_match_the_definition(monkeypatch, long):
+    monkeypatch.setattr(quality, "LONG", long)
     texts = [None, "", " ", "one two", "a b c a b c", "a b c d a b c e a b c", "x\nx\n \n\nx ", "é\x1c# <b>\x0b\x0c *", "a a a a a", "w " * 60, " ".join(map(str, range(60)))]
     texts += pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.tolist()[:120]
     texts = [t for t in texts if len(t or "") < 8000]

@@ -45,6 +45,12 @@ def test_fingerprints_match_the_definition():
     assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
 
 
+def test_long_texts_have_the_same_fingerprints(monkeypatch):
+    texts = ["", " \n", "One", "one two", "A b c", "a b c a b c a b c", "é " * 50, " ".join(map(str, range(200)))]
+    monkeypatch.setattr(simhash, "LONG", -1)
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
 def test_manhattan_distance_in_unary_code(spark):
     rnd = random.Random(1)
     values = [rnd.getrandbits(64) for _ in range(50)] + [0, (1 << 64) - 1]

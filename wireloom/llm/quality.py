@@ -12,12 +12,14 @@ judged one by one, so repeated rows give repeated results.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from wireloom.llm.features import Grams, Rows, folds, platt, score, sigmoid
@@ -27,6 +29,9 @@ from wireloom.llm.sample import labelled
 SAMPLE = 2000
 #: Documents whose probability of good quality is lower are rejected.
 KEEP = 0.5
+#: Characters from which a text's windows are compared by hashes.
+LONG = 1 << 22
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPEC = Grams(words=(1, 2), chars=(3,), bits=18)
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -64,23 +69,46 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     return Model(rows.table(w, SPEC.bits), bias, slope, shift)
 
 
+def repeated_in(words: list[bytes]) -> int:
+    """Words within three-word windows that occur twice or more."""
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == len(windows):
+        return 0
+    seen = Counter(windows)
+    repeated = until = 0
+    for i, w in enumerate(windows):
+        if seen[w] > 1:
+            repeated += i + 3 - max(i, until)
+            until = i + 3
+    return repeated
+
+
+def repeated_in_long(text: str) -> tuple[int, int]:
+    """The number of words, and repeated_in() of them by 64-bit hashes: some eight bytes a word instead of objects."""
+    found = (xxhash.xxh64_intdigest(m[0].encode("utf-8", "surrogatepass")) for m in _WORD.finditer(text))
+    h = np.fromiter(found, dtype=np.uint64)
+    if len(h) < 3:
+        return len(h), 0
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    windows = ((h[:-2] * odd ^ h[1:-1]) * odd ^ h[2:]) * odd
+    _, at, n = np.unique(windows, return_inverse=True, return_counts=True)
+    often = n[at] > 1
+    covered = np.zeros(len(h), dtype=bool)
+    for k in range(3):
+        covered[k : k + len(often)] |= often
+    return len(h), int(covered.sum())
+
+
 def counts(text: str | None) -> tuple[int, int, int, int, int, bool]:
     """The rules' counts of one text and whether they fail it."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
-    n = len(words)
+    if len(text) > LONG:
+        n, repeated = repeated_in_long(text)
+    else:
+        words = text.encode("utf-8", "surrogatepass").split()
+        n, repeated = len(words), repeated_in(words)
     chars = len(text) - sum(map(text.count, _SPACES))
     symbols = sum(map(text.count, _SYMBOLS))
-    repeated = 0
-    if n > 2:
-        windows = list(zip(words, words[1:], words[2:]))
-        if len(set(windows)) < len(windows):
-            seen = Counter(windows)
-            until = 0
-            for i, w in enumerate(windows):
-                if seen[w] > 1:
-                    repeated += i + 3 - max(i, until)
-                    until = i + 3
     lines = [x for x in text.split("\n") if x.strip(_SPACES)] if "\n" in text else []
     dup = len(lines) - len(set(lines))
     return n, chars, symbols, dup, repeated, n < 50 or 100 * repeated > 50 * n

@@ -24,6 +24,8 @@ ids that aren't null (null if there is none).
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -43,6 +45,9 @@ SALTS = 16
 _LOW = 0x5555555555555555
 _GROUPS = [(0, 10), (10, 10), (20, 10), (30, 10), (40, 12), (52, 12)]
 _CHUNK = 1 << 16
+#: Bytes from which a text's words are taken one by one.
+LONG = 1 << 22
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def signed(x: int) -> int:
@@ -51,25 +56,35 @@ def signed(x: int) -> int:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles, repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return 0
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
     h = xxhash.xxh64_intdigest
-    if n < size:
-        values = iter([h(b" ".join(words), SEED)])
-        n = 1
+    if len(data) > LONG:
+        shingles = sliding(data, size)
     else:
-        values = (h(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(size))))
-        n += 1 - size
-    count = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, _CHUNK):
-        m = min(_CHUNK, n - k)
-        part = np.fromiter(islice(values, m), dtype="<u8", count=m)
-        count += np.unpackbits(part.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words = data.split()
+        few = [tuple(words)] if words and len(words) < size else []
+        shingles = iter(few) if len(words) < size else zip(*(words[k:] for k in range(size)))
+    values = (h(b" ".join(w), SEED) for w in shingles)
+    count, n = np.zeros(64, dtype=np.int64), 0
+    while len(part := np.fromiter(islice(values, _CHUNK), dtype="<u8")):
+        n += len(part)
+        count += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
+def sliding(data: bytes, size: int) -> Iterator[tuple[bytes, ...]]:
+    """The shingles of a long text, without a list of its words; the whole sequence if it has fewer words."""
+    held: deque[bytes] = deque(maxlen=size)
+    n = 0
+    for m in _WORD.finditer(data):
+        held.append(m[0])
+        n += 1
+        if n >= size:
+            yield tuple(held)
+    if 0 < n < size:
+        yield tuple(held)
+
+
 def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp) for every row; fp as a signed long."""
 
