@@ -5,7 +5,7 @@ An order is a drawing and its lines are symbols; boxes, labels and nets follow f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ORDER = "l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
@@ -19,11 +19,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("drawing_id", F.col("l_orderkey")).withColumn("idx", idx)
 
 
-def gold(lines: DataFrame) -> DataFrame:
+def gold(lines: DataFrame, *more: Column) -> DataFrame:
+    """The lines' boxes and types; more: further expressions over the lines."""
     x0, y0 = F.expr("cast(l_partkey % 97 as int)"), F.expr("cast(l_suppkey * 13 % 61 as int)")
     return lines.select(
         "drawing_id", "idx", x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("l_quantity").cast("int")).alias("x1"),
-        (y0 + 20 + 5 * F.col("l_linenumber")).cast("int").alias("y1"), F.col("l_returnflag").alias("type"),
+        (y0 + 20 + 5 * F.col("l_linenumber")).cast("int").alias("y1"), F.col("l_returnflag").alias("type"), *more,
     )
 
 
@@ -31,20 +32,17 @@ def pred(lines: DataFrame) -> DataFrame:
     """The golden boxes shifted, some far away, some with another type."""
     dx = F.expr("cast(case when l_partkey % 13 = 0 then 60 when l_partkey % 11 = 0 then 10000 else 4 * (l_partkey % 7 - 3) end as int)")
     dy = F.expr("cast(l_suppkey % 5 - 2 as int)")
-    moved = gold(lines).withColumn("other", F.lit("X"))
-    keyed = lines.select("drawing_id", "idx", dx.alias("dx"), dy.alias("dy"), F.expr("l_partkey % 5 = 0").alias("swap"))
-    return moved.join(keyed, ["drawing_id", "idx"]).select(
+    moved = gold(lines, dx.alias("dx"), dy.alias("dy"), F.expr("l_partkey % 5 = 0").alias("swap"))
+    return moved.select(
         "drawing_id", "idx", (F.col("x0") + F.col("dx")).alias("x0"), (F.col("y0") + F.col("dy")).alias("y0"),
-        (F.col("x1") + F.col("dx")).alias("x1"), (F.col("y1") + F.col("dy")).alias("y1"), F.when(F.col("swap"), F.col("other")).otherwise(F.col("type")).alias("type"),
+        (F.col("x1") + F.col("dx")).alias("x1"), (F.col("y1") + F.col("dy")).alias("y1"), F.when(F.col("swap"), "X").otherwise(F.col("type")).alias("type"),
     )
 
 
 def tokens(lines: DataFrame) -> DataFrame:
     label = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), F.expr("cast(l_partkey % 8 as int) + 1"))
     text = F.concat(label, F.expr("cast(l_suppkey % 40 as string)"), F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit("K"))
-    g = gold(lines).select("drawing_id", "idx", "x1", "y0")
-    keyed = lines.select("drawing_id", "idx", text.alias("text"), F.expr("cast(l_partkey % 60 as int)").alias("dx"), F.expr("cast(l_suppkey % 30 as int)").alias("dy"))
-    at = g.join(keyed, ["drawing_id", "idx"])
+    at = gold(lines, text.alias("text"), F.expr("cast(l_partkey % 60 as int)").alias("dx"), F.expr("cast(l_suppkey % 30 as int)").alias("dy"))
     return at.select("drawing_id", F.col("idx").alias("ord"), "text", (F.col("x1") + F.col("dx")).alias("x0"), (F.col("y0") + F.col("dy")).alias("y0"), (F.col("x1") + F.col("dx") + 30).alias("x1"), (F.col("y0") + F.col("dy") + 10).alias("y1"))
 
 
@@ -98,7 +96,7 @@ def terminals(lines: DataFrame) -> DataFrame:
 
 def wire_points(lines: DataFrame) -> DataFrame:
     """A short horizontal stretch of wire beside each golden symbol."""
-    g = gold(lines).join(members(lines), ["drawing_id", "idx"])
+    g = gold(lines, F.expr("cast(l_suppkey % 3 as int)").alias("net_ord"))
     shift = F.explode(F.sequence(F.lit(0), F.lit(6)))
     return g.select("drawing_id", "net_ord", (F.col("x1") + 2 * F.col("net_ord") + 3).alias("x"), F.expr("cast(floor((y0 + y1) / 2) as int) + 2 * net_ord - 2").alias("y"), shift.alias("k")).select("drawing_id", "net_ord", (F.col("x") + 2 * F.col("k")).alias("x"), "y")
 

@@ -77,11 +77,11 @@ def box_overlap_pairs(spark, sf_dir):
 @query
 def box_merge_fixpoint(spark, sf_dir):
     lines = bind.lines(spark, sf_dir)
-    seen = lines.select(
-        D, "idx", F.when(F.expr("l_partkey % 4 = 0"), "ambiguous").otherwise("symbol").alias("kind"), F.when(F.expr("l_suppkey % 3 > 0"), F.col("l_returnflag")).alias("class"),
+    seen = (
+        F.when(F.expr("l_partkey % 4 = 0"), "ambiguous").otherwise("symbol").alias("kind"), F.when(F.expr("l_suppkey % 3 > 0"), F.col("l_returnflag")).alias("class"),
         F.when(F.expr("l_suppkey % 5 > 0"), F.col("l_discount") * 10).alias("confidence"), F.when(F.expr("l_linenumber % 2 = 0"), "synthetic_yolo").otherwise("real_detector").alias("source"),
     )
-    return matching.merged(bind.gold(lines).drop("type").join(seen, [D, "idx"]), 0.5)
+    return matching.merged(bind.gold(lines, *seen).drop("type"), 0.5)
 
 
 def _near(spark, sf_dir):
