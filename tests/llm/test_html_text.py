@@ -25,6 +25,7 @@ TEXT = "First, a paragraph of some length; it has points.\nSecond one, also with
         ("<article><p><b>Bold, start.<br><p>Next, one.<li>item, one<li>item, two</article>", "Bold, start.\nNext, one.\nitem, one\nitem, two"),
         (f"<div><div class=menu>one two three</div><div id=c><h2>Head</h2>{BODY}</div><div class=footer>(c) us.</div></div>", "Head\n" + TEXT),
         (f"<div class=ad><article>{BODY}</article>", TEXT),
+        (f'<div id="header"><h1>Site, of things.</h1></div><div id=c><div class="post-header"><h1>Own</h1></div>{BODY}</div><ol class="commentlist"><li>Good, one, yes.</ol>', "Own\n" + TEXT),
         (f"<ARTICLE>{BODY.upper()}</ARTICLE>", TEXT.upper()),
         ("<article><p>in<b>li</b>ne, <i>words</i> here.</p></article>", "inline, words here."),
         (f"<article>{BODY}", TEXT), (f"</div></p>{BODY}</article>", TEXT),

@@ -41,9 +41,12 @@ _OUT = frozenset("nav footer aside form menu dialog button label fieldset input
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices"
-    " sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments respond disqus share sharing social"
+    " announcement announcements notification notifications alert alerts disclaimer adbox adslot adsense cookiebar cookiebanner"
+    " sidebar sidenav topbar nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead"
+    " comment comments commentlist respond replies discussion disqus reactions feedback share sharing social"
     " related recommended popup modal overlay newsletter subscribe subscription login signup search pagination pager widget toolbar skip".split()
 )
+_HEADS = frozenset("header site-header page-header top-header global-header".split())
 _ROOTS = frozenset("html body main article".split())
 
 
@@ -79,7 +82,7 @@ def outside(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
             mark += "." + value if name == "class" else ""
             for word in value.split():
                 parts = re.split(r"[-_]+", word)
-                out = out or parts[0] in _WORDS or parts[-1] in _WORDS
+                out = out or parts[0] in _WORDS or parts[-1] in _WORDS or word in _HEADS and not within(parent)
     return out, mark
 
 
