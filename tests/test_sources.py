@@ -198,3 +198,32 @@ def test_readings(spark):
     assert all(len(r.key) == 16 for r in asked.collect())
     cache = asked.where("content = 'b'").select("key")
     assert [r.content for r in readings.unanswered(asked, cache).collect()] == ["a"]
+
+
+def test_scores_from_files_and_commands(spark, tmp_path, capsys):
+    from wireloom.__main__ import main
+    from wireloom.plans import evaluate
+
+    box = lambda k: [50 * k, 0, 50 * k + 40, 30]
+    symbol = lambda i, t, k, c=(): {"id": i, "type": t, "coordinates": box(k), "connections": list(c)}
+    files = {
+        "gold/D1.json": {"_connectivity_verified": True, "symbols": [symbol("R1", "R", 0, ["C1"]), symbol("C1", "C", 1), symbol("L1", "L", 2, ["R1"]), symbol("X", "X", 9)]},
+        "gold/D2.json": {"symbols": [{"id": "A", "type": "R", "coordinates": box(0)}]},
+        "gold/D3.json": {"symbols": []},
+        "pred/D1.json": {"symbols": [symbol("a", "R", 0, ["b"]), symbol("b", "L", 1, ["c"]), symbol("c", "L", 2), symbol("z", "R", 20)]},
+        "pred/D2.json": {"symbols": [symbol("q", "R", 0, ["q"])]},
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(data, indent=1))
+    found = evaluate.from_files(spark, f"{tmp_path}/gold", f"{tmp_path}/pred")
+    scores = {r.scope: (r.tp, r.fp, r.fn, r.correct) for r in found["detection"].collect()}
+    assert scores == {"D1": (3, 1, 1, 2), "D2": (1, 0, 0, 1), "TOTAL": (4, 1, 1, 3)}
+    assert [tuple(r)[:4] for r in found["connectivity"].where("scope = 'TOTAL'").collect()] == [("TOTAL", 1, 1, 1)]
+    assert [(r.gold_type, r.pred_type, r.n) for r in found["confusions"].collect()] == [("C", "L", 1)]
+    assert [r.drawing_id for r in found["missing"].collect()] == ["D3"]
+    assert [r.id for r in found["unmatched_golden"].collect()] == ["X"] and [r.id for r in found["unmatched_predicted"].collect()] == ["z"]
+    main(["domains"])
+    assert capsys.readouterr().out.split() == ["electronic", "pid"]
+    main(["eval", f"{tmp_path}/gold", f"{tmp_path}/pred"])
+    assert "TOTAL" in capsys.readouterr().out

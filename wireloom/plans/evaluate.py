@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.geometry import rates, ratio
 from wireloom.operators.boxes import iou_pairs
 from wireloom.operators.matching import greedy
+from wireloom.sources import drawings
 
 BY = "drawing_id"
 
@@ -60,3 +61,34 @@ def connectivity(gold: DataFrame, pred: DataFrame, found: DataFrame) -> DataFram
     sums = rows.rollup(BY).agg(count("tp"), count("fp"), count("fn"))
     p, r, f1 = rates(F.col("tp"), F.col("fp"), F.col("fn"))
     return sums.select(F.coalesce(F.col(BY).cast("string"), F.lit("TOTAL")).alias("scope"), "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def edges(symbols: DataFrame) -> DataFrame:
+    """Undirected edges over indices from symbols' connections, which name ids; of symbols that share an id the last counts."""
+    at = symbols.groupBy(BY, "id").agg(F.max("idx").alias("n"))
+    named = symbols.select(BY, "id", F.explode("connections").alias("other"))
+    ends = named.join(at, [BY, "id"]).join(at.select(BY, F.col("id").alias("other"), F.col("n").alias("m")), [BY, "other"])
+    return undirected(ends.select(BY, F.col("n").alias("a"), F.col("m").alias("b")))
+
+
+def from_files(spark: SparkSession, golden: str, predicted: str, least: float = 0.5) -> dict[str, DataFrame]:
+    """Scores predicted drawings (JSON files) against golden ones of the same name.
+
+    detection, confusions, unmatched_golden and unmatched_predicted of all that have both files; connectivity of those whose
+    connections are verified; missing: golden drawings without a prediction.
+    """
+    gold_files, pred_files = drawings.drawings(spark, golden), drawings.drawings(spark, predicted)
+    both = gold_files.select(BY, "verified").join(pred_files.select(BY), BY).distinct()
+    gold, pred = (drawings.symbols(f).drop("verified").join(both, BY) for f in (gold_files, pred_files))
+    boxed = [df.select(BY, "idx", "x0", "y0", "x1", "y1", "type") for df in (gold, pred)]
+    found = matches(*boxed, least)
+    left = lambda df, n: df.select(BY, F.col("idx").alias(n), "id").join(found, [BY, n], "left_anti").select(BY, "id")
+    checked = found.join(both.where("verified"), BY, "left_semi")
+    return {
+        "detection": detection(*boxed, found),
+        "confusions": confusions(found),
+        "connectivity": connectivity(edges(gold.where("verified")), edges(pred.where("verified")), checked),
+        "unmatched_golden": left(gold, "gi"),
+        "unmatched_predicted": left(pred, "pi"),
+        "missing": gold_files.select(BY).join(pred_files.select(BY), BY, "left_anti"),
+    }
