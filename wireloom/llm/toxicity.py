@@ -31,6 +31,8 @@ SAMPLE = 4000
 TOXIC = 0.15
 #: Buckets whose share of rows differs less between the classes, in standard errors, get no weight.
 LEAST_Z = 4.0
+#: Steps of a fit.
+STEPS = 100
 SPEC = Grams(words=(1,), chars=(), bits=40, starts=(3, 4, 5, 6), letters=True, presence=True)
 #: Seed words of the weakly labelled categories; `toxic` itself is labelled and ends the chain.
 SEEDS = {
@@ -77,9 +79,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
             continue
         out = np.zeros(rows.n)
         for held in folds(y):
-            out[held] = rows.logits(*rows.fit(y, np.setdiff1d(everyone, held), earlier, steps=200, least_z=LEAST_Z), earlier)[held]
+            out[held] = rows.logits(*rows.fit(y, np.setdiff1d(everyone, held), earlier, steps=STEPS, least_z=LEAST_Z), earlier)[held]
         slope, shift = platt(out, y)
-        w, u, bias = rows.fit(y, everyone, earlier, steps=200, least_z=LEAST_Z)
+        w, u, bias = rows.fit(y, everyone, earlier, steps=STEPS, least_z=LEAST_Z)
         weights[:, len(links)] = w
         links.append((u, bias, slope, shift))
         earlier = np.column_stack((earlier, sigmoid(slope * out + shift)))
