@@ -34,7 +34,7 @@ WORDS = 32767
 SLOTS = 1 << 21
 BACKING = 8.0
 #: Tokens counted or scored at once.
-STEP = 1 << 20
+STEP = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +107,7 @@ def vocabulary(documents: DataFrame, most: int) -> dict[bytes, int]:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 held.update(words(t))
-                if len(held) > 500_000:
+                if len(held) > 200_000:
                     yield flush(held)
         if held:
             yield flush(held)
