@@ -71,3 +71,19 @@ def test_empty_and_without_targets(spark):
     assert lm_score.score(docs.limit(0), none, lm_score.train(docs.limit(0), none)).collect() == []
     r = lm_score.score(docs, none, lm_score.train(docs, none)).first()
     assert r.n_tokens == 2 and abs(r.score) < 1e-9
+
+
+@pytest.mark.parametrize("common, slots", [(0, 0), (3, 2), (lm_score.COMMON, lm_score.SLOTS)])
+def test_every_word_and_pair_counts_by_itself(spark, common, slots):
+    """More words than any fixed vocabulary, and rare ones that meet only where their rows are joined."""
+    rnd = random.Random(5)
+    rows = [(k, " ".join([*(f"w{rnd.randrange(60000)}" for _ in range(9000)), *rnd.choices("a b c".split(), k=50)])) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = docs.where("doc_id < 4").select("doc_id")
+    model = lm_score.train(docs, marks, common=common, slots=slots)
+    assert model.size == len({w for _, t in rows for w in t.split()}) + 2 > 40000
+    want = plain(rows, set(range(4)), 10**9, lm_score.BACKING, None)
+    found = sorted(map(tuple, lm_score.score(docs, marks, model).collect()))
+    assert len(found) == len(want)
+    for a, b in zip(found, want):
+        assert a[:2] == b[:2] and all(abs(x - y) < 1e-6 for x, y in zip(a[2:], b[2:])), (a, b)
