@@ -218,10 +218,13 @@ def train(documents: DataFrame, targets: DataFrame, most: int | None = None, com
             yield record(rare=none == 0, key=at, target=none, background=none)
 
     found = marks(documents.select("doc_id", "text"), targets).select("text", "target").mapInArrow(count, "rare boolean, key long, target long, background long")
-    found = kept(found.groupBy("rare", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    size = found.where("rare").count() + n if ids is None else len(ids)
-    # at most 1 + 2 * COMMON + SLOTS rows
-    counts = found.where("not rare").toArrow()
+    found = found.groupBy("rare", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    found = found.groupBy("rare", F.expr("if(rare, null, key)").alias("key")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"), F.count("*").alias("n"))
+    # at most 1 + 2 * COMMON + SLOTS rows, and one that counts the rare words
+    counts = found.toArrow()
+    rare = counts.column("rare").to_numpy()
+    size = int(counts.column("n").to_numpy()[rare].sum()) + n if ids is None else len(ids)
+    counts = counts.filter(pa.array(~rare))
     sums = np.zeros((2, 1 + 2 * n + len(pairs)))
     for k, name in enumerate(("target", "background")):
         sums[k, counts.column("key").to_numpy()] = counts.column(name).to_numpy()
@@ -287,7 +290,7 @@ def score(documents: DataFrame, targets: DataFrame, model: Model) -> DataFrame:
             yield packed(parts, buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Losses by document, of rows that come in order of bucket."""
+        """Losses of rows that come in order of bucket."""
         m = held.value
         parts, size, last = [], 0, None
         for batch in batches:
@@ -350,7 +353,7 @@ def unpacked(rows: bytes) -> list[np.ndarray]:
 
 
 def losses(m: Model, key: np.ndarray, sub: np.ndarray, row: np.ndarray, n: np.ndarray, own: np.ndarray, at: np.ndarray, size: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
-    """Summed losses by document of rare rows whose keys are all there."""
+    """The losses of rare rows whose keys are all there, a row each."""
     order = np.lexsort((sub, key))
     key, sub, row, n, own, at, size, target = (x[order] for x in (key, sub, row, n.astype(np.int64), own.astype(np.int64), at, size.astype(np.int64), target))
     other = key[1:] != key[:-1]
@@ -364,9 +367,8 @@ def losses(m: Model, key: np.ndarray, sub: np.ndarray, row: np.ndarray, n: np.nd
     bits = np.zeros((2, len(key)))
     bits[:, ~context] = numerators(m, *(x[..., ~context] for x in (pairs, word, n, own, size, mine)))
     bits[:, context] = n[context] * np.log2(contexts[:, context] - n[context] * mine[:, context] + m.backing)
-    some, of = np.unique(row, return_inverse=True)
-    none = pa.nulls(len(some), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(some), none, none, *(pa.array(np.bincount(of, weights=x)) for x in bits)], names=OUT)
+    none = pa.nulls(len(row), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(row), none, none, *map(pa.array, bits)], names=OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
