@@ -60,3 +60,14 @@ def test_table(spark):
 def test_very_long_page():
     assert extract("<article>" + "<p>Some, words here.</p>" * 50000 + "</article>").count("\n") == 49999
     assert extract("<div>" * 3000 + "deep, text." + "</div>" * 3000) == "deep, text."
+
+
+def test_parts_in_sibling_containers_are_kept():
+    long, short = "A sentence of the article, with points. " * 15, "A shorter paragraph, with points too. " * 4
+    many = f"<p>{long}</p>" * 5
+    line = " ".join(long.split())
+    found = extract(f"<article><h1>Title</h1><p class=lead>The lead, in short.</p><div class=body>{many}</div></article>")
+    assert found.split("\n") == ["Title", "The lead, in short.", *[line] * 5]
+    for outer in ("article", "div"):
+        found = extract(f"<{outer}><section>{many}</section><section>{f'<p>{short}</p>' * 3}</section></{outer}>")
+        assert found.split("\n") == [line] * 5 + [" ".join(short.split())] * 3

@@ -3,8 +3,8 @@
 A page is read once by a tag scanner into blocks of text, each with its root-to-leaf path of
 tags.  Text length and punctuation are summed per path and divided by the path's number of
 blocks; both ratios are smoothed over neighbouring blocks, fused, and the content area is the
-deepest element that holds almost all of the fused weight of paths over the threshold.  All blocks in it
-are kept, also short ones, except those of navigation, notices, adverts, forms and
+smallest element that holds every block of a path over the threshold, or the article or main
+element around that.  All blocks in it are kept, also short ones, except those of navigation, notices, adverts, forms and
 comments, which are told by tag, role, or a word of their class or id.
 
 Defined results: a null or empty html, or one without text, gives ''.  Unclosed, stray and wrongly
@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Share of the largest fused ratio from which a path counts as content.
 THRESHOLD = 0.1
-#: Share of the content paths' weight that the content area holds.
-SHARE = 0.8
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PUNCTUATION = frozenset(".,;:!?…。、，；：！？¿¡")
@@ -233,24 +231,30 @@ def extract(page: str | None) -> str:
         return ""
     fused = ratios(found)
     least = THRESHOLD * max(fused)
-    weight: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    total = 0.0
-    for (node, text), f in zip(found, fused):
-        if f < least:
-            continue
-        w = f * len(text)
-        total += w
-        at: Node | None = node
-        while at:
-            weight[id(at)] = weight.get(id(at), 0.0) + w
-            nodes[id(at)] = at
-            at = at.parent
-    areas = [n for k, n in nodes.items() if weight[k] >= SHARE * total and (n.tag in _HOLD or not n.parent)]
-    area = max(areas, key=lambda n: n.depth)
+    area: Node | None = None
+    for (node, _), f in zip(found, fused):
+        if f >= least:
+            area = common(area, node) if area else node
+    while area.parent and area.tag not in _HOLD:
+        area = area.parent
+    at = area
+    while at:
+        if at.tag in ("article", "main"):
+            area = at
+        at = at.parent
     return "\n".join(text for node, text in found if under(node, area))
 
 
+def common(a: Node, b: Node) -> Node:
+    """The deepest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
 def under(node: Node | None, area: Node) -> bool:
     while node:
         if node is area:
