@@ -112,6 +112,14 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
 
 
+def test_stage_decides_by_row(spark):
+    """An id with two unrelated texts, one of them a copy of a smaller id, and copies without an id."""
+    rows = [(1, "some words for a text"), (2, "some words for a text"), (2, "quite other words in here"), (3, "first of two texts"), (3, "the second one differs")]
+    rows += [(None, "no id at all")] * 2 + [(None, "some words for a text")]
+    kept = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], *rows[2:6]], key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.grouped(docs).collect() == []

@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wireloom.llm.components import components
 from wireloom.llm.shared import kept
@@ -143,8 +144,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def marked(docs: DataFrame, name: str, size: int = 3) -> DataFrame:
+    """The rows with their fingerprints in a further column."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield batch.append_column(name, pa.array(fp))
+
+    return docs.mapInArrow(make, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Of rows that repeat it, one; rows without an id stay."""
-    ids = grouped(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of each group of linked fingerprints: that with the smallest id, rows without an id last."""
+    rows = marked(docs, "_fp")
+    fps = kept(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("doc")))
+    of = fps.join(kept(components(links(fps))), F.col("fp") == F.col("node"), "left")
+    best = of.groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct(F.col("doc").isNull(), "doc", "fp")).alias("best")).select("best.doc", "best.fp")
+    found = rows.join(best, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_fp") == F.col("fp")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_fp"]).select(docs.columns)
