@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -71,3 +72,100 @@ def test_parts_in_sibling_containers_are_kept():
     for outer in ("article", "div"):
         found = extract(f"<{outer}><section>{many}</section><section>{f'<p>{short}</p>' * 3}</section></{outer}>")
         assert found.split("\n") == [line] * 5 + [" ".join(short.split())] * 3
+
+
+LONG = "A sentence of the article, with points. " * 8
+LINE = " ".join(LONG.split())
+JUNK = "<div class=q9><a href=x>JUNKLINK</a></div>"
+
+
+@pytest.mark.parametrize("outer", ["body", "div", "article"])
+def test_ratios_choose_the_blocks(monkeypatch, outer):
+    """Nothing names the junk; only its path's ratios tell it."""
+    page = f"<{outer}><p>{LONG}</p>{JUNK}<p>{LONG}</p><ul class=z><li><a>one</a><li><a>two</a></ul></{outer}>"
+    assert extract(page) == f"{LINE}\n{LINE}"
+    monkeypatch.setattr(html_text, "ratios", lambda nodes, found: [1.0] * len(found))
+    assert "JUNKLINK" in extract(page)
+
+
+def unmarked(page):
+    """The page without what marks its article and its advert: elements without meaning, names that say nothing."""
+    for a, b in {"<article>": '<div class="q3">', "</article>": "</div>", '<div class="ad">': '<div class="q2">'}.items():
+        page = page.replace(a, b)
+    return page
+
+
+def test_ratios_on_unmarked_pages(monkeypatch):
+    """Without any mark ratios find most articles alone, the others with a short block more; no article loses text."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    want = [extract(page) for page in pages]
+    found = [extract(unmarked(page)) for page in pages]
+    assert sum(a == b for a, b in zip(found, want)) > 0.7 * len(pages)
+    assert sum(set(b.split("\n")) <= set(a.split("\n")) for a, b in zip(found, want)) >= 0.99 * len(pages)
+    monkeypatch.setattr(html_text, "ratios", lambda nodes, found: [1.0] * len(found))
+    for change in (str, unmarked):
+        assert not any(extract(change(page)) == b for page, b in zip(pages, want))
+
+
+def test_ratios_match_a_plain_sum():
+    """Bottom-up sums and fused ratios against sums taken anew for each path, over all blocks under it."""
+    page = f"<body><div class=a><h2>Head</h2><p>{LONG}</p><p>Short, one.</p><ul><li><a>x</a> y<li>z.</ul></div><div class=b><section><p>{LONG[:80]}</p></section></div><div class=a><p>More, of it.</p></div><p>Last <a>link</a></p>"
+    scanner = html_text.Scanner(page)
+    scanner.run()
+    fused = html_text.ratios(scanner.nodes, scanner.found)
+    points = lambda t: sum(c in html_text._PUNCTUATION for c in t)
+
+    def ends(node):
+        while node:
+            yield node
+            node = node.parent
+
+    def under(path):
+        some = [b for b in scanner.found if any(n.path == path for n in ends(b[0]))]
+        return len(some), sum(len(p) for _, _, p in some), sum(points(p) for _, _, p in some), sum(len(t) for _, t, _ in some)
+
+    def ratio(node):
+        n, length, marks, _ = under(node.path)
+        around = next((e for e in ends(node.parent) if e.hold is e), None)
+        if around is None or around.tag in ("", "html", "body"):
+            return length / n, marks / n
+        m, more, points_, _ = under(around.path)
+        return (2 * length / n + more / m) / 3, (2 * marks / n + points_ / m) / 3
+
+    def held(node):
+        if node.tag not in html_text._HEADINGS:
+            return next(e for e in ends(node) if e.hold is e)
+        return next(e for e in ends(node) if e.hold is e and any(e in ends(b[0]) and b[0].tag not in html_text._HEADINGS for b in scanner.found))
+
+    every = [ratio(held(b[0])) for b in scanner.found]
+    most = [max(x) + 0.1 for x in zip(*every)]
+    whole = sum(len(t) for _, t, _ in scanner.found)
+    for (node, _, _), (a, b), got in zip(scanner.found, every, fused, strict=True):
+        want = ((a + 0.1) / most[0] * (b + 0.1) / most[1] * under(held(node).path)[3] / whole) ** 0.5
+        group = node if node.tag in html_text._HEADINGS else next(e for e in ends(node) if e.tag in html_text._LISTS or e.hold is e)
+        _, plain, _, text = under(group.path)
+        assert got == pytest.approx(want * (0.05 + 0.95 * plain / text))
+
+
+@pytest.mark.parametrize("paragraph", ['<p data-id="ad-1">', '<p class="social-science">', '<p class="alert-theory">', "<p><video src=x>", "<p class='content-first ad2x'>", "<p title='a > b'>", "<p don't>"])
+def test_no_text_is_lost_to_names(paragraph):
+    assert extract(f"<article><p>{LONG}</p>{paragraph}{LONG}</p></article>") == f"{LINE}\n{LINE}"
+    assert extract(f"<div><p>{LONG}</p>{paragraph}{LONG}</p></div>") == f"{LINE}\n{LINE}"
+
+
+def test_named_and_closed_parts_are_left_out():
+    for junk in ['<div class="reader-comments"><p>%s</p></div>', '<section id=comments><article class=comment><p>%s</p></article></section>', "<aside><article><p>%s</p></article></aside>", '<div class="cookie-notice box">%s</div>', '<div role="dialog"><p>%s</p></div>']:
+        assert extract(f"<body><div class=c><p>{LONG}</p></div>{junk % LONG}") == LINE
+        assert extract(f"<body><article><p>{LONG}</p></article>{junk % LONG}") == LINE
+    assert extract(f"<form><article><p>{LONG}</p></article></form>") == LINE
+
+
+@pytest.mark.parametrize("page", ["<div>x", "<a '", "<a ='", "<a ='>", "<div><h1>a", "<b><h1>x", "<li>a<b>", "<video>x", "<!--", "<td>x<p>", "<nav><article>x", "</p></b>", "<ul><li>x"])
+def test_time_is_linear(page):
+    def took(n):
+        began = time.process_time()
+        extract(page * n)
+        return time.process_time() - began
+
+    took(100)
+    assert took(40000) < 12 * max(took(8000), 0.02)
