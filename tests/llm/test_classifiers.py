@@ -4,8 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wireloom.llm import quality, toxicity
-from wireloom.llm.features import Grams, grams, platt, present, score, sigmoid, sparse
+from wireloom.llm import features, quality, toxicity
+from wireloom.llm.features import Grams, Rows, grams, platt, present, score, sigmoid, sparse
+from wireloom.llm.sample import labelled
 
 DATA = "/root/testdata/sf0.1"
 
@@ -126,3 +127,138 @@ def test_repeated_labels_and_documents(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60) for _ in range(3)], "doc_id long, quality int, toxic int")
     found = quality.judge(docs, quality.train(docs, labels)).collect()
     assert len(found) == 120 and all(r.kept == bool(r.doc_id % 2) for r in found)
+
+
+@pytest.mark.parametrize("spec", [Grams(), Grams(words=(1, 2, 3), chars=(1, 4), bits=40, starts=(3,), letters=True), Grams(words=(1,), chars=(), bits=40, starts=(2, 3), letters=True, presence=True), Grams(words=(2,), chars=(5,), bits=40)])
+def test_pieces_have_the_n_grams_of_the_whole(monkeypatch, spec):
+    """Wherever a long text is cut, also within long words and white space."""
+    rnd = np.random.default_rng(4)
+    texts = ["", "x" * 100, " " * 200 + "end", "ab " + "y" * 57 + " cd" + " " * 90 + "ef gh", "worthless, " * 30, "a" * 33 + "b," * 40]
+    texts += ["".join(rnd.choice(list("abc ,\né"), n)) for n in (30, 41, 80, 400, 999)] + ["".join(rnd.choice(["a", "bcd", " ", "      ", "efghijklmnop", ","], 60)) for _ in range(30)]
+    monkeypatch.setattr(features, "WORD", 8)
+    table = rnd.normal(size=1 << 18)
+    whole = [sparse(t, spec) for t in texts]
+    sums = score(texts, spec, [table]) if spec.bits == 18 else None
+    some = np.unique(np.concatenate([at for at, _ in whole]))[::3]
+    weights = rnd.normal(size=(len(some), 2))
+    held = present(texts, spec, some, weights)
+    for piece in (16, 23, 40):
+        monkeypatch.setattr(features, "PIECE", piece)
+        for (at, value), (at_, value_) in zip(whole, [sparse(t, spec) for t in texts]):
+            assert at.tolist() == at_.tolist() and np.allclose(value, value_)
+        if sums is not None:
+            assert np.allclose(sums, score(texts, spec, [table]))
+        assert np.allclose(held, present(texts, spec, some, weights))
+
+
+def test_very_long_texts(spark):
+    """Texts of many pieces, one of them a single word."""
+    long = "worthless words here, " * 40000
+    assert len(long) > 3 * features.PIECE
+    docs = spark.createDataFrame([(1, long), (2, "x" * 300_000), (3, long[:-3])], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in quality.judge(docs, quality.train(docs, labels)).collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in toxicity.judge(docs, toxicity.train(docs, labels)).collect()) == [1, 2, 3]
+    at, value = sparse(long, Grams(words=(1, 2), chars=(), bits=40))
+    assert len(at) == 6 and np.isclose((value**2).sum(), 3 * 40000**2 / 120000 + (2 * 40000**2 + 39999**2) / 119999)
+
+
+def test_windows_of_long_texts_are_compared_by_words():
+    for text in ["", "a", "a b", "a b c a b c", "a a a a", "a b c d a b c e a b c", " ".join(map(str, range(300))) + " 1 2 3"]:
+        words = text.split()
+        assert quality.repeated_in_long(text) == (len(words), quality.repeated_in([w.encode() for w in words]))
+
+
+def test_sample_is_bounded_before_it_is_collected(spark):
+    """Labels of ids that the input lacks take no place; a repeated id counts once, with its least text."""
+    docs = spark.createDataFrame([(5, "b"), *[(5, "a b"), (5, None)] * 50, (7, None), (None, "x"), (9, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)] + [(5, 0), (None, 1), (9, None)], "doc_id long, y int")
+    spec = Grams(words=(1,), chars=(), bits=40)
+    ids, at, _, y = labelled(docs, labels, "y", spec, 3)
+    assert ids.tolist() == [5, 7, 9] and y.tolist() == [1, 1, 1] and list(map(len, at)) == [2, 0, 2]
+    assert at[0].tolist() == sparse("a b", spec)[0].tolist()
+    assert len(labelled(docs, labels, "y", spec, 2)[0]) == 2
+    assert labelled(docs.limit(0), labels, "y", spec, 3)[0].tolist() == []
+
+
+def test_kinds_are_clusters_of_the_toxic_rows():
+    spec, rnd = toxicity.SPEC, np.random.default_rng(2)
+    clean = lambda: rnd.choice([f"{a}{b}" for a in "bdfgkl" for b in ("alo", "ene", "iri")], 20).tolist()
+    texts = [" ".join(clean() + (["zwock", "zwerg"] if k % 10 == 0 else ["qualm", "quark"] if k % 10 == 5 else [])) for k in range(400)]
+    rows = Rows(*zip(*(sparse(t, spec) for t in texts)))
+    found = toxicity.kinds(rows, np.arange(400) % 5 == 0)
+    assert sorted(np.flatnonzero(f)[0] for f in found) == [0, 5] and [f.sum() for f in found] == [40, 40]
+    assert [k.sum() for k in toxicity.kinds(rows, np.zeros(400, bool))] == [0, 0]
+
+
+def test_chain_gains_over_one_model(monkeypatch):
+    """On held-out rows the chain ranks toxic rows above clean ones more often than a single model of the same sample."""
+    docs = pd.read_parquet(f"{DATA}/documents.parquet").drop_duplicates("doc_id").set_index("doc_id").text
+    labels = pd.read_parquet(f"{DATA}/labels.parquet").groupby("doc_id").toxic.max()
+    train, test = labels[labels.index % 2 == 0], labels[labels.index % 2 == 1]
+    rows, toxic = Rows(*zip(*(sparse(docs[i], toxicity.SPEC) for i in train.index))), train.to_numpy() > 0
+
+    def area():
+        rank = pd.Series(toxicity.fit(rows, toxic).probabilities([docs[i] for i in test.index])[:, -1]).rank().to_numpy()
+        n = int(test.sum())
+        return (rank[test.to_numpy() > 0].sum() - n * (n + 1) / 2) / (n * (len(test) - n))
+
+    chain = area()
+    monkeypatch.setattr(toxicity, "kinds", lambda rows, toxic: [])
+    assert chain > area() + 0.005 and chain > 0.99
+
+
+def plain_fit(x, y, l2, steps):
+    """The same logistic regression on a dense matrix."""
+    w, m1, m2 = np.zeros(x.shape[1] + 1), 0.0, 0.0
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    for t in range(1, steps + 1):
+        g = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
+        grad = np.append(x.T @ g / len(y) + l2 * w[:-1] / x.shape[1], g.mean())
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
+        w = w - 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)
+    return w
+
+
+def test_quality_verdict_against_a_dense_model(spark):
+    """The verdict of a dense matrix of the same n-grams, folds, calibration and threshold, without hashing tables or sums in batches."""
+    rnd = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "st", "rk")]
+    make = lambda k: " ".join(rnd.choice(words[:40] if k % 2 else words[20:], 60))
+    rows = [(k, make(k)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+
+    def counted(text):
+        out, t = {}, text.lower()
+        ws = t.split()
+        for family, found in enumerate((ws, [a + " " + b for a, b in zip(ws, ws[1:])], [t[i : i + 3] for i in range(len(t) - 2)])):
+            for g in found:
+                out[family, g] = out.get((family, g), 0) + 1 / len(found) ** 0.5
+        return out
+
+    every = [counted(t) for _, t in rows]
+    seen = {}
+    for c in every[:80]:
+        for g in c:
+            seen[g] = seen.get(g, 0) + 1
+    column = {g: i for i, g in enumerate(g for g, n in seen.items() if n >= 4)}
+    x = np.zeros((120, len(column)))
+    for i, c in enumerate(every):
+        for g, v in c.items():
+            if g in column:
+                x[i, column[g]] = v
+    y = np.arange(80) % 2
+    z = np.zeros(80)
+    for k in range(4):
+        held = np.concatenate([np.flatnonzero(y == c)[k::4] for c in (0, 1)])
+        rest = np.setdiff1d(np.arange(80), held)
+        w = plain_fit(x[rest], y[rest], 2e-3, 80)
+        z[held] = x[held] @ w[:-1] + w[-1]
+    slope, shift = platt(z, y)
+    w = plain_fit(x[:80], y, 2e-3, 80)
+    want = sigmoid(slope * (x @ w[:-1] + w[-1]) + shift)
+    found = {r.doc_id: r for r in quality.judge(docs, quality.train(docs, labels)).collect()}
+    got = np.array([found[k].quality for k in range(120)])
+    assert np.abs(got - want).max() < 0.02  # a few n-grams share a bucket
+    assert [found[k].kept for k in range(120)] == [bool(p >= quality.KEEP and not plain_counts(t)[-1]) for (_, t), p in zip(rows, want)]

@@ -3,17 +3,24 @@
 Texts are laid end to end as code points.  One running polynomial hash then gives the hash of
 any substring by two lookups, so words, word pairs and character n-grams cost a few array
 operations per code point and no Python loop over tokens.
+
+Long texts are taken in pieces.  A piece ends between two words, and the next one is led by the words and characters that
+n-grams reaching into it begin with; an n-gram counts in the piece where it ends.  So the pieces' n-grams are the
+text's, wherever it is cut.  A word of over WORD code points counts as words of that length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Code points handled at once; a longer text is taken in pieces (no n-gram crosses a piece).
+#: Code points handled at once; a longer text is taken in pieces. At least WORD.
 PIECE = 1 << 17
+#: Code points after which a word ends.
+WORD = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(128, dtype=bool)
@@ -64,32 +71,81 @@ def bucket(h: np.ndarray, family: int, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Pieces of texts, about PIECE code points at a time, with the row of each piece."""
+def groups(texts: list[str | None], spec: Grams) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Pieces of texts, about PIECE code points at a time: the row of each, each with what leads it, and the length of that."""
     rows: list[int] = []
     parts: list[str] = []
+    leads: list[int] = []
     held = 0
     for i, t in enumerate(texts):
         t = (t or "").lower()
-        for k in range(0, len(t) or 1, PIECE):
-            part = t[k : k + PIECE]
+        for part, lead in [(t, 0)] if len(t) <= PIECE else pieces(t, spec):
             if held and held + len(part) > PIECE:
-                yield rows, parts
-                rows, parts, held = [], [], 0
+                yield rows, parts, leads
+                rows, parts, leads, held = [], [], [], 0
             rows.append(i)
             parts.append(part)
+            leads.append(lead)
             held += len(part) + 1
     if rows:
-        yield rows, parts
-
-
-def grams(parts: list[str], spec: Grams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per family of n-grams: the buckets in text order, and where each part's buckets start (one more than parts)."""
+        yield rows, parts, leads
+
+
+def pieces(text: str, spec: Grams) -> Iterator[tuple[str, int]]:
+    """A long text's pieces, each with the length of what leads it."""
+    breaks = "".join(chr(k) for k in np.flatnonzero(_BREAK if spec.letters else _SPACE))
+    last = re.compile(f"[{re.escape(breaks)}][^{re.escape(breaks)}]*\\Z")
+    word = re.compile(f"[^{re.escape(breaks)}]{{1,{WORD}}}")
+    # the characters, and words, before a piece that its n-grams may begin with
+    chars = max(spec.chars, default=1) - 1
+    words = max(max(spec.words, default=1) - 1, int(chars > 0))
+    before: list[tuple[int, int]] = []
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PIECE:
+            first = word.search(text, at, at + PIECE)
+            cut = last.search(text, first.start() + 1, at + PIECE) if first else None
+            # between words, or after whole lengths of a long one, or within white space
+            end = cut.start() if cut else at + PIECE
+            if first and not cut:
+                whole = (end - first.start()) // WORD
+                end = first.start() + whole * WORD if whole else word.match(text, first.start()).end()
+        lead = ""
+        if before or chars and at:
+            word_at = before[0][0] if before else at
+            since = min(word_at, max(at - chars, 0))
+            if since < word_at and text[word_at - 1] not in breaks:
+                since = word_at - WORD
+            lead = text[since:word_at]
+            for (a, b), after in zip(before, [*(a for a, _ in before[1:]), at]):
+                lead += text[a:b] + text[max(b, after - chars - 1) : after]  # of much white space its end
+        yield lead + text[at:end], len(lead)
+        if words:
+            before = [*before, *((m.start(), m.end()) for m in word.finditer(text, at, end))][-words:]
+        at = end
+
+
+def spans(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ascending, disjoint spans."""
+    steps = np.zeros(n + 1, dtype=np.int64)
+    some = high > low
+    np.add.at(steps, low[some], 1)
+    np.add.at(steps, high[some], -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def grams(parts: list[str], spec: Grams, leads: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per family of n-grams: the buckets in text order, and where each part's buckets start (one more than parts).
+
+    N-grams that end in the first so many (leads) code points of a part don't count.
+    """
     raw = "\n".join(parts) + "\n"
     codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    sizes = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
+    own = starts + np.array(leads or [0] * len(parts), dtype=np.int64)
     ahead, back = powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum((codes + np.uint64(1)) * ahead[: len(codes)], out=total[1:])
@@ -98,35 +154,36 @@ def grams(parts: list[str], spec: Grams) -> Iterator[tuple[np.ndarray, np.ndarra
     if not space[0]:
         edge = np.concatenate(([0], edge))
     begin, end = edge[0::2], edge[1::2]
+    if len(begin) and (end - begin).max() > WORD:
+        n = -(-(end - begin) // WORD)
+        begin, end = np.repeat(begin, n), np.repeat(end, n)
+        begin = begin + WORD * (np.arange(len(begin)) - np.repeat(np.cumsum(n) - n, n))
+        end = np.minimum(end, begin + WORD)
     word = (total[end] - total[begin]) * back[begin]
     first = np.searchsorted(begin, starts)
+    mine = np.searchsorted(begin, own)
     last = np.searchsorted(begin, ends)
     family = 0
     for n in spec.words:
         h = word
         for k in range(1, n):
             h = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + word[k:] if len(h) else h
-        keep = np.ones(len(h), dtype=bool)
-        for k in range(1, n):
-            cut = last - k
-            keep[cut[(cut >= first) & (cut < len(h))]] = False
-        bounds = np.concatenate(([0], np.cumsum(np.maximum(last - first - n + 1, 0))))
-        yield bucket(h[keep], family, spec.bits), bounds
+        low = np.maximum(first, mine - n + 1)
+        high = np.maximum(last - n + 1, low)
+        yield bucket(h[spans(low, high, len(h))], family, spec.bits), np.concatenate(([0], np.cumsum(high - low)))
         family += 1
     for n in spec.starts:
         long = end - begin >= n
+        long &= spans(mine, last, len(long))
         so_far = np.concatenate(([0], np.cumsum(long)))
         h = (total[begin[long] + n] - total[begin[long]]) * back[begin[long]]
-        yield bucket(h, family, spec.bits), np.concatenate(([0], np.cumsum(so_far[last] - so_far[first])))
+        yield bucket(h, family, spec.bits), np.concatenate(([0], np.cumsum(so_far[last] - so_far[mine])))
         family += 1
     for n in spec.chars:
         h = (total[n:] - total[:-n]) * back[: len(codes) + 1 - n] if len(codes) >= n else total[:0]
-        keep = np.ones(len(h), dtype=bool)
-        for k in range(n):
-            cut = ends - k
-            keep[cut[(cut >= starts) & (cut < len(h))]] = False
-        bounds = np.concatenate(([0], np.cumsum(np.maximum(sizes - n + 1, 0))))
-        yield bucket(h[keep], family, spec.bits), bounds
+        low = np.maximum(starts, own - n + 1)
+        high = np.maximum(ends - n + 1, low)
+        yield bucket(h[spans(low, high, len(h))], family, spec.bits), np.concatenate(([0], np.cumsum(high - low)))
         family += 1
 
 
@@ -134,9 +191,9 @@ def score(texts: list[str | None], spec: Grams, tables: list[np.ndarray]) -> np.
     """Per text and table: the sum over families of a family's summed weights over the root of its n-gram count."""
     sums = np.zeros((len(tables), spec.families, len(texts)))
     counts = np.zeros((spec.families, len(texts)))
-    for rows, parts in groups(texts):
+    for rows, parts, leads in groups(texts, spec):
         at = np.asarray(rows)
-        for f, (b, bounds) in enumerate(grams(parts, spec)):
+        for f, (b, bounds) in enumerate(grams(parts, spec, leads)):
             np.add.at(counts[f], at, np.diff(bounds))
             for t, table in enumerate(tables):
                 run = np.zeros(len(b) + 1)
@@ -150,8 +207,8 @@ def present(texts: list[str | None], spec: Grams, buckets: np.ndarray, weights:
     maybe = np.zeros(1 << 16, dtype=bool)
     maybe[buckets & 0xFFFF] = True
     pairs = [np.zeros(0, dtype=np.int64)]
-    for rows, parts in groups(texts):
-        for b, bounds in grams(parts, spec):
+    for rows, parts, leads in groups(texts, spec):
+        for b, bounds in grams(parts, spec, leads):
             near = np.flatnonzero(maybe[b & 0xFFFF])
             place = np.minimum(np.searchsorted(buckets, b[near]), max(len(buckets) - 1, 0))
             hit = buckets[place] == b[near] if len(near) else np.zeros(0, bool)
@@ -166,8 +223,8 @@ def present(texts: list[str | None], spec: Grams, buckets: np.ndarray, weights:
 def sparse(text: str | None, spec: Grams) -> tuple[np.ndarray, np.ndarray]:
     """One text's buckets, ascending, and their values, as score() weighs them."""
     found: list[list[np.ndarray]] = [[] for _ in range(spec.families)]
-    for _, parts in groups([text]):
-        for f, (b, _) in enumerate(grams(parts, spec)):
+    for _, parts, leads in groups([text], spec):
+        for f, (b, _) in enumerate(grams(parts, spec, leads)):
             found[f].append(b)
     ids, values = [], []
     for x in found:

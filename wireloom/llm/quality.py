@@ -7,7 +7,9 @@ probability.  One pass over the texts, no shuffle.
 
 Defined results: a null text counts as empty (all counts 0, base_failed, not kept); without
 labelled rows, or with one class only, the classifier keeps what the rules keep; rows are
-judged one by one, so repeated rows give repeated results.
+judged one by one, so repeated rows give repeated results; an empty table gives no rows; texts of any length are
+counted and scored whole, long ones in pieces with the same result; other columns are neither read nor returned by
+judge() and kept by keep().
 """
 
 from __future__ import annotations
@@ -19,17 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from wireloom.llm.features import Grams, Rows, folds, platt, score, sigmoid
 from wireloom.llm.sample import labelled
 
 #: Labelled rows that the classifier is fitted on, at most.
-SAMPLE = 2000
+SAMPLE = 3000
 #: Documents whose probability of good quality is lower are rejected.
 KEEP = 0.5
-#: Characters from which a text's windows are compared by hashes.
+#: Characters from which a text's words are numbered, so that its windows take no objects.
 LONG = 1 << 22
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPEC = Grams(words=(1, 2), chars=(3,), bits=18)
@@ -54,7 +55,7 @@ class Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    _, at, value, y, _ = labelled(documents, labels, "quality", SPEC, sample)
+    _, at, value, y = labelled(documents, labels, "quality", SPEC, sample)
     y = (y > 0).astype(int)
     if len(np.unique(y)) < 2:
         return Model(np.zeros(1), 0.0, 1.0, 0.0, 1.0)
@@ -84,19 +85,24 @@ def repeated_in(words: list[bytes]) -> int:
 
 
 def repeated_in_long(text: str) -> tuple[int, int]:
-    """The number of words, and repeated_in() of them by 64-bit hashes: some eight bytes a word instead of objects."""
-    found = (xxhash.xxh64_intdigest(m[0].encode("utf-8", "surrogatepass")) for m in _WORD.finditer(text))
-    h = np.fromiter(found, dtype=np.uint64)
-    if len(h) < 3:
-        return len(h), 0
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    windows = ((h[:-2] * odd ^ h[1:-1]) * odd ^ h[2:]) * odd
-    _, at, n = np.unique(windows, return_inverse=True, return_counts=True)
-    often = n[at] > 1
-    covered = np.zeros(len(h), dtype=bool)
+    """The number of words, and repeated_in() of them: each distinct word has a number, so a word costs a few bytes."""
+    known: dict[str, int] = {}
+    ids = np.fromiter((known.setdefault(m[0], len(known)) for m in _WORD.finditer(text)), dtype=np.int32)
+    n, size = len(ids), len(known)
+    del known
+    if n < 3:
+        return n, 0
+    # windows in order: by their last two words' numbers, exactly, then by their first's
+    two = ids[1:-1].astype(np.int64) * size + ids[2:]
+    order = np.lexsort((two, ids[:-2]))
+    same = (two[order[1:]] == two[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]])
+    often = np.zeros(n - 2, dtype=bool)
+    often[order[1:][same]] = True
+    often[order[:-1][same]] = True
+    covered = np.zeros(n, dtype=bool)
     for k in range(3):
-        covered[k : k + len(often)] |= often
-    return len(h), int(covered.sum())
+        covered[k : k + n - 2] |= often
+    return n, int(covered.sum())
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int, bool]:

@@ -3,14 +3,16 @@
 Each category has a linear model over hashed words and beginnings of words (stems with endings).  Later models also see the
 probabilities of the earlier categories; in training these are out-of-fold predictions, so a
 later model learns from probabilities as they will be on unseen text.  The tables' only
-toxicity label is `toxic`; the categories before it are weak labels: a toxic row that holds a
-word of the category's seed list.  Every model is fitted on a bounded sample (SAMPLE) of labelled rows and
+toxicity label is `toxic`, which ends the chain; the categories before it are the KINDS clusters of the toxic
+labelled rows by the buckets that set them apart from the others (spherical k-means), so they follow the corpus's own vocabulary
+and languages.  Every model is fitted on a bounded sample (SAMPLE) of labelled rows and
 broadcast (a weight for each bucket
 that separates the classes, at most the sample's words); scoring is one pass in Arrow batches without a shuffle.
 
 Defined results: a null or empty text has no n-grams and is never toxic; without
-labelled rows, or with one class, all probabilities are the class's (0 without rows);
-repeated rows give repeated results.
+labelled rows, or with one class, all probabilities are the class's (0 without rows); a cluster without rows has
+probability 0; repeated rows give repeated results; an empty table gives no rows; texts of any length are
+read whole, long ones in pieces with the same result; other columns are neither read nor returned by judge() and kept by drop().
 """
 
 from __future__ import annotations
@@ -32,14 +34,11 @@ TOXIC = 0.15
 #: Buckets whose share of rows differs less between the classes, in standard errors, get no weight.
 LEAST_Z = 4.0
 #: Steps of a fit.
-STEPS = 100
+STEPS = 200
 SPEC = Grams(words=(1,), chars=(), bits=40, starts=(3, 4, 5, 6), letters=True, presence=True)
-#: Seed words of the weakly labelled categories; `toxic` itself is labelled and ends the chain.
-SEEDS = {
-    "insult": ["idiot", "moron", "loser", "clown", "scum"],
-    "contempt": ["worthless", "pathetic", "disgusting", "stupid", "trash"],
-}
-CHAIN = [*SEEDS, "toxic"]
+#: Clusters of the toxic rows.
+KINDS = 2
+CHAIN = [*(f"kind_{k}" for k in range(1, KINDS + 1)), "toxic"]
 
 
 @dataclass
@@ -62,11 +61,41 @@ class Chain:
         return np.where(np.array([not (t and t.strip()) for t in texts])[:, None], 0.0, out) if texts else out
 
 
+def kinds(rows: Rows, toxic: np.ndarray, k: int = KINDS, rounds: int = 20) -> list[np.ndarray]:
+    """The toxic rows in k clusters by cosine over the buckets that more of them hold than of the others; ties and empty rows go to the first."""
+    some = np.flatnonzero(toxic)
+    if not len(some) or len(some) == rows.n:
+        return [toxic & False for _ in range(k)]
+    telling = rows.differs(toxic.astype(int), np.ones(rows.n, bool)) >= LEAST_Z
+    use = telling[rows.col] & toxic[rows.row]
+    row, col = rows.row[use], rows.col[use]
+    size = np.sqrt(np.maximum(np.bincount(row, minlength=rows.n), 1))
+    near = lambda center: np.bincount(row, weights=center[col], minlength=rows.n) / size
+    unit = lambda v: v / max(float(np.sqrt((v * v).sum())), 1e-12)
+    of = lambda who: unit(np.bincount(col, weights=(who / size)[row], minlength=rows.width))
+    # the first center is the largest row, each next one the row least like those before
+    picked = [some[np.argmax(size[some])]]
+    centers = [of(np.arange(rows.n) == picked[0])]
+    while len(centers) < k:
+        picked.append(some[np.argmin(np.max([near(c)[some] for c in centers], axis=0))])
+        centers.append(of(np.arange(rows.n) == picked[-1]))
+    at = None
+    for _ in range(rounds):
+        now = np.argmax([near(c) for c in centers], axis=0)
+        if at is not None and (now == at).all():
+            break
+        at = now
+        centers = [of(toxic & (at == j)) for j in range(k)]
+    return [toxic & (at == j) for j in range(k)]
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    _, at, value, y, hits = labelled(documents, labels, "toxic", SPEC, sample, SEEDS)
-    toxic = y > 0
-    targets = [toxic & hits[:, k] for k in range(len(SEEDS))] + [toxic]
-    rows = Rows(at, value)
+    _, at, value, y = labelled(documents, labels, "toxic", SPEC, sample)
+    return fit(Rows(at, value), y > 0)
+
+
+def fit(rows: Rows, toxic: np.ndarray) -> Chain:
+    targets = [*kinds(rows, toxic), toxic]
     everyone = np.arange(rows.n)
     earlier = np.zeros((rows.n, 0))
     links: list = []
