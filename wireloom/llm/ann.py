@@ -1,8 +1,11 @@
 """Nearest neighbours by an inverted file with product-quantised residuals.
 
 The coarse centroids and the codebooks of the residuals' subspaces are fitted on a bounded
-sample (SAMPLE rows, first by a hash of their id); every row is indexed.  The number of lists that a
-query probes is fitted on it too: the fewest that hold REACH of the true neighbours within the sample.
+sample (SAMPLE rows, first by a hash of their id and vector); every row is indexed.  There are about as many lists as the square root of the
+rows: up to LISTS coarse centroids, each with the same finer ones around it where more lists are wanted than the sample
+can fit.  The number of lists that a
+query probes is fitted on the sample too, with queries that the centroids haven't seen: the fewest lists that hold REACH of the true
+neighbours within the sample; a query whose lists hold too few rows goes on to further lists.
 
 A list is dealt into blocks of rows and its queries into blocks too, so a list may hold any
 share of the rows or queries; each pair of blocks is one bounded group.  There, a table of
@@ -10,9 +13,10 @@ inner products of the query with the codebooks (asymmetric distances) ranks the
 near the best are ranked again by exact inner products in double precision, and the best TOP go on.
 Equal vectors share a code and are ranked once; of them the TOP + 1 smallest ids go on, more can't be among the nearest.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or whose length isn't
-the most frequent one (ties: the longest), and rows with a null id take no part.  A repeated id counts once,
-with its least vector.  Scores tie to the smaller id.  An empty table gives no rows.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id take no part.
+Rows are told apart by themselves, not by id: each row of a repeated id is a candidate, and if its id is a query's, a query of its own.
+Vectors of different lengths have no inner product: each length is searched by itself (an index for each).  Scores tie to the smaller id.  An
+empty table gives no rows.  Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -31,35 +35,60 @@ TOP = 20
 #: Queries are the rows whose id this divides.
 EVERY = 20
 SAMPLE = 16384
-#: Lists: the rows to this power, this many at most.
-POWER, LISTS = 0.4, 1024
+#: Lists: the rows to this power. Coarse centroids: this many at most, and one for 16 rows of the sample.
+POWER, LISTS = 0.5, 1024
 REACH = 0.97
 #: Rows ranked exactly: those whose asymmetric score is at most so many standard errors below the TOP-th best, and SHORTLIST at least.
 ERRORS = 2.0
 SHORTLIST = 64
-#: Rows and queries in a group: at least so many before a list is dealt out further, and at most.
-LEAST, MOST, QUERIES = 512, 32768, 1024
+#: Rows and queries in a group, at most.
+ROWS, QUERIES = 1 << 15, 1 << 13
+#: Scores that are held at once.
+STEP = 1 << 20
 
 
 @dataclass
 class Index:
     centroids: np.ndarray
+    #: Offsets from each centroid; a list is a centroid with an offset.
+    finer: np.ndarray
     #: Per subspace its first and last dimension and its codebook.
     books: list[tuple[int, int, np.ndarray]]
     probes: int
     #: Standard error of the asymmetric score for a query of length 1.
     error: float = 0.0
 
+    @property
+    def lists(self) -> int:
+        return len(self.centroids) * len(self.finer)
+
+    def center(self, lists: np.ndarray) -> np.ndarray:
+        return self.centroids[lists // len(self.finer)] + self.finer[lists % len(self.finer)]
+
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return nearest(x, self.centroids)
+        at = nearest(x, self.centroids)
+        return at * len(self.finer) + nearest(x - self.centroids[at], self.finer)
 
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        r = x - self.centroids[lists]
+        r = x - self.center(lists)
         return np.column_stack([nearest(r[:, a:b], book) for a, b, book in self.books]).astype(np.uint8)
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        """Per query the lists whose centroids have the largest inner products with it."""
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def scores(self, q: np.ndarray) -> np.ndarray:
+        """Per query and list the inner product with the list's center."""
+        return ((q @ self.centroids.T)[:, :, None] + (q @ self.finer.T)[:, None, :]).reshape(len(q), -1)
+
+    def probe(self, q: np.ndarray, sizes: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+        """Per query the lists whose centers have the largest inner products with it; more if they hold fewer rows than `least`."""
+        out = []
+        for k in range(0, len(q), step := max(1, (1 << 22) // self.lists)):
+            near = self.scores(q[k : k + step])
+            some = np.argpartition(-near, self.probes - 1, axis=1)[:, : self.probes] if self.probes < self.lists else np.tile(np.arange(self.lists), (len(near), 1))
+            for one, lists in zip(near, some):
+                if sizes is not None and sizes[lists].sum() < least and len(lists) < self.lists:
+                    order = np.argsort(-one, kind="stable")
+                    lists = order[: np.searchsorted(np.cumsum(sizes[order]), least) + 1]
+                out.append(np.sort(lists))
+        return out
 
 
 def nearest(x: np.ndarray, centers: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -85,32 +114,36 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def fit(x: np.ndarray, rows: int) -> Index:
     """An index for `rows` vectors, fitted on the sample x."""
-    lists = int(max(1, min(LISTS, round(rows**POWER), len(x) // 16 or 1)))
-    centroids = k_means(x, lists)
-    at = nearest(x, centroids)
-    few = slice(0, 8192)
-    r = (x - centroids[at])[few]
+    lists = max(1, round(rows**POWER))
+    # the last quarter only asks
+    seen = x[: max(1, 3 * len(x) // 4)]
+    centroids = k_means(seen, max(1, min(LISTS, lists, len(x) // 16 or 1)))
+    r = seen - centroids[nearest(seen, centroids)]
+    more = lists // LISTS if len(centroids) == LISTS else 1
+    finer = k_means(r, min(more, LISTS)) if more > 1 else np.zeros((1, x.shape[1]))
+    index = Index(centroids, finer, [], 1)
+    r = (seen - index.center(index.assign(seen)))[:8192]
     edges = np.linspace(0, x.shape[1], max(1, x.shape[1] // 4) + 1).astype(int)
-    books = [(a, b, k_means(r[:, a:b], 256, 6)) for a, b in zip(edges[:-1], edges[1:])]
-    index = Index(centroids, books, len(centroids))
-    miss = r - np.column_stack([book[nearest(r[:, a:b], book)] for a, b, book in books])
+    index.books = [(a, b, k_means(r[:, a:b], 256, 6)) for a, b in zip(edges[:-1], edges[1:])]
+    miss = r - np.column_stack([book[nearest(r[:, a:b], book)] for a, b, book in index.books])
     index.error = float(np.sqrt((miss * miss).sum(axis=1).mean() / x.shape[1]))
     _, first = np.unique(x, axis=0, return_index=True)
-    q = x[np.sort(first)[:256]]
-    order = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
-    score = q @ x[np.sort(first)].T
-    best = np.argsort(-score, axis=1)[:, 1 : TOP + 1]
-    need = np.sort(np.take_along_axis(order, at[np.sort(first)][best], 1).ravel())
-    index.probes = int(need[int(np.ceil(REACH * len(need))) - 1]) + 1 if len(need) else len(centroids)
+    first = np.sort(first)
+    some = x[first]
+    q = some[-min(256, max(1, len(some) // 4)) :]
+    place = np.argsort(np.argsort(-index.scores(q), axis=1, kind="stable"), axis=1)
+    best = np.argsort(-(q @ some.T), axis=1)[:, 1 : TOP + 1]
+    need = np.sort(np.take_along_axis(place, index.assign(some)[best], 1).ravel())
+    index.probes = int(need[int(np.ceil(REACH * len(need))) - 1]) + 1 if len(need) else index.lists
     return index
 
 
 def valid(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
+    """(row, vec_id, v) of the rows that take part; row tells them apart once the table is kept."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    rows = rows.where(good & F.exists("embedding", lambda x: x != 0)).groupBy("vec_id").agg(F.min("embedding").alias("v"))
-    return rows
+    rows = rows.where(good & F.exists("embedding", lambda x: x != 0))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -118,96 +151,113 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def search(embeddings: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
-    spark = embeddings.sparkSession
+    """(query_id, rank, vec_id, score): the `top` nearest found of the rows whose id `every` divides."""
     rows = kept(valid(embeddings))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n = sizes.d, sizes.n
-    rows = rows.where(F.size("v") == d)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    # a row for each length of vectors, of which a table has one or a few
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    found = embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for k, s in enumerate(sizes):
+        part = searched(rows.where(F.size("v") == s.d) if len(sizes) > 1 else rows, s.d, s.n, top, every)
+        found = found.unionByName(part) if k else part
+    return found
+
+
+def searched(rows: DataFrame, d: int, n: int, top: int, every: int) -> DataFrame:
+    """search() among n kept rows of vectors of length d."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(SAMPLE).select("v").toArrow()
     x = np.asarray(sample.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(-1, d)
     index = fit(x, n)
     held = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, d)
+            x = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(-1, d)
             at = held.value.assign(x)
             codes = held.value.codes(x, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["vec_id", "list", "code", "v"],
+                [batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
+                names=["row", "vec_id", "list", "code", "v"],
             )
 
+    placed = kept(rows.mapInArrow(place, "row long, vec_id long, list int, code binary, v binary"))
+    # a row for each list, about the square root of the table's rows
+    many = np.zeros(index.lists, dtype=np.int64)
+    for r in placed.groupBy("list").count().collect():
+        many[r["list"]] = r["count"]
+    filled = spark.sparkContext.broadcast(many)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, d)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(held.value.probe(q).tolist(), pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
+            q = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(-1, d)
+            lists = held.value.probe(q, filled.value, top + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in q], pa.binary()), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["asker", "query_id", "q", "lists"])
 
-    placed = kept(rows.mapInArrow(place, "vec_id long, list int, code binary, v binary"))
-    asked = kept(rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(ask, "query_id long, q binary, lists array<int>"))
-    # at most LISTS rows each
-    many = dict(map(tuple, placed.groupBy("list").count().collect()))
+    asked = kept(rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(ask, "asker long, query_id long, q binary, lists array<int>"))
     wanted = dict(map(tuple, asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()))
-    block = min(MOST, max(LEAST, -(-2 * n // len(index.centroids))))
-    share = F.array(*[F.lit(-(-many.get(k, 0) // block) or 1) for k in range(len(index.centroids))])
-    turns = F.array(*[F.lit(-(-wanted.get(k, 0) // QUERIES) or 1) for k in range(len(index.centroids))])
-    left = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(share, F.col("list"))).cast("int"))
-    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.get(turns, F.col("list")) - 1)))
-    right = asked.select("query_id", "q", F.explode("lists").alias("list"))
-    right = right.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.get(turns, F.col("list"))).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(share, F.col("list")) - 1)))
+    dealt = [(k, -(-int(many[k]) // ROWS), -(-wanted[k] // QUERIES)) for k in sorted(wanted) if many[k]]
+    dealt = F.broadcast(spark.createDataFrame(dealt, "list int, shares int, turns int"))
+    left = placed.join(dealt, "list").withColumn("block", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
+    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("shares", "turns")
+    right = asked.select("asker", "query_id", "q", F.explode("lists").alias("list")).join(dealt, "list")
+    right = right.withColumn("turn", F.pmod(F.xxhash64("asker"), F.col("turns")).cast("int"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares", "turns")
     by = ["list", "block", "turn"]
 
     def group(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int),) * 5 + (np.zeros(0),)]
         if rows.num_rows and queries.num_rows:
-            ids = rows.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
+            row, ids = rows.column("row").to_numpy(), rows.column("vec_id").to_numpy()
+            order = np.lexsort((row, ids))
+            row, ids = row[order], ids[order]
             v = matrix(rows.column("v").combine_chunks(), d)[order]
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             _, first, of = np.unique(v.view(np.dtype((np.void, 8 * d))).ravel(), return_index=True, return_inverse=True)
             # the members of each distinct vector, smallest ids first
             members = np.argsort(of, kind="stable")
-            starts = np.concatenate(([0], np.cumsum(np.bincount(of))))
-            q_ids = queries.column("query_id").to_numpy()
+            count = np.bincount(of)
+            starts = np.cumsum(count) - count
+            v, code = v[first], np.ascontiguousarray(code[first].T)
+            asker, query_id = queries.column("asker").to_numpy(), queries.column("query_id").to_numpy()
             q = matrix(queries.column("q").combine_chunks(), d)
-            center = held.value.centroids[rows.column("list")[0].as_py()]
-            step = max(1, (1 << 20) // max(len(first), 1024))
-            for k in range(0, len(q), step):
+            center = held.value.center(np.array([rows.column("list")[0].as_py()]))[0]
+            for k in range(0, len(q), step := max(1, STEP // len(first))):
                 part = q[k : k + step]
                 near = np.repeat((part @ center)[:, None], len(first), 1)
                 for m, (a, b, book) in enumerate(held.value.books):
-                    near += (part[:, a:b] @ book.T)[:, code[first, m]]
+                    near += np.take(part[:, a:b] @ book.T, code[m], axis=1)
                 if len(first) > SHORTLIST:
                     edge = -np.partition(-near, (top - 1, SHORTLIST - 1), axis=1)
                     reach = edge[:, top - 1] - ERRORS * held.value.error * np.sqrt((part * part).sum(axis=1))
-                    taken = near >= np.minimum(reach, edge[:, SHORTLIST - 1])[:, None]
+                    i, j = np.nonzero(near >= np.minimum(reach, edge[:, SHORTLIST - 1])[:, None])
                 else:
-                    taken = np.ones(near.shape, bool)
-                for i, one in enumerate(part):
-                    best = np.flatnonzero(taken[i])
-                    exact = (v[first[best]] * one).sum(axis=1)
-                    mine = np.argsort(-exact, kind="stable")[: top + 1]
-                    rows_, scores = [], []
-                    for j, s in zip(best[mine], exact[mine]):
-                        w = members[starts[j] : min(starts[j + 1], starts[j] + top + 1)]
-                        rows_.append(ids[w])
-                        scores.append(np.full(len(w), s))
-                    at, s = np.concatenate(rows_), np.concatenate(scores)
-                    other = at != q_ids[k + i]
-                    at, s = at[other], s[other]
-                    take = np.lexsort((at, -s))[:top]
-                    found.append((np.full(len(take), q_ids[k + i]), at[take], s[take]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
-
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(group, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+                    i, j = map(np.ravel, np.indices(near.shape))
+                exact = (v[j] * part[i]).sum(axis=1)
+                keep = heads(i, np.lexsort((-exact, i)), top + 1)
+                i, j, exact = i[keep], j[keep], exact[keep]
+                # each distinct vector's first members
+                n = np.minimum(count[j], top + 1)
+                member = members[np.repeat(starts[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                i, exact = np.repeat(i, n), np.repeat(exact, n)
+                other = row[member] != asker[k + i]
+                i, exact, member = i[other], exact[other], member[other]
+                keep = heads(i, np.lexsort((row[member], ids[member], -exact, i)), top)
+                i, exact, member = i[keep], exact[keep], member[keep]
+                found.append((asker[k + i], query_id[k + i], ids[member], row[member], i, exact))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pa.table({"asker": columns[0], "query_id": columns[1], "vec_id": columns[2], "row": columns[3], "score": columns[5]})
+
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(group, "asker long, query_id long, vec_id long, row long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+def heads(group: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Of rows in order (group by group, ascending) the first so many of each group."""
+    g = group[order]
+    start = np.searchsorted(g, g, "left")
+    return order[np.arange(len(g)) - start < most]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
