@@ -26,16 +26,16 @@ def plain(captures, entries):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("span", [1, 7, 30])
-def test_as_of_each_day(spark, span):
-    rnd = random.Random(span)
+@pytest.mark.parametrize("seed", [1, 7, 30])
+def test_as_of_each_day(spark, seed):
+    rnd = random.Random(seed)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "x.org", "localhost", ""]
     patterns = ["a.com", "b.a.com", "c.b.a.com", "x.org", "a.com/p", "b.a.com/q", "localhost", "com", None]
     captures = [(k, rnd.choice(hosts), rnd.choice(["p", "q", ""]), rnd.choice([None, *range(100, 140)])) for k in range(400)]
     entries = [(rnd.choice(patterns), rnd.choice(["spam", "bad"]), rnd.choice([None, *range(90, 150)]), rnd.random() < 0.6, k) for k in range(60)]
     rows = [(i, f"http://{h.upper()}:80/{p}/x?y" if h else "no url", d, "extra") for i, h, p, d in captures]
     df = spark.createDataFrame(rows, "page_id long, url string, day long, extra string")
-    found = U.evaluate(df, spark.createDataFrame(entries, "pattern string, category string, day long, adds boolean, seq long"), span)
+    found = U.evaluate(df, spark.createDataFrame(entries, "pattern string, category string, day long, adds boolean, seq long"))
     assert {"extra", "page_id", "url", "day"} < set(found.columns)
     got = sorted(((r.page_id, r.host, r.n_active, r.pattern, r.category, r.listed_on, r.blocked) for r in found.collect()), key=str)
     # a URL without a host has no path part either
@@ -71,3 +71,17 @@ def test_empty(spark):
     assert U.evaluate(df, entries).collect() == []
     one = spark.createDataFrame([(1, "http://a.com", 5), (1, "http://a.com", 5)], "page_id long, url string, day long")
     assert [r.blocked for r in U.evaluate(one, entries).collect()] == [False, False]
+
+
+def test_clashing_columns_and_far_days(spark):
+    """Captures' columns named as results go, others stay whatever their name; days far apart and long hosts cost no more."""
+    far = ".".join(f"l{k}" for k in range(300)) + ".a.com"
+    rows = [(k, url, day, "own", "own", "own", "own", "own") for k, (url, day) in enumerate([("http://a.com/x", 5), (f"http://{far}/", 2_900_000), ("http://b.com", -7), (None, 5), ("http://a.com", None)])]
+    names = ["id", "url", "day", "category", "host", "part", "best", "i"]
+    df = spark.createDataFrame(rows, "id long, url string, day int, category string, host string, part string, best string, i string").toDF(*names)
+    entries = [("a.com", "spam", 0, True, 1), ("l299.a.com", "bad", 10, True, 1), ("l299.a.com", "bad", 2_900_001, False, 2), ("b.com", "spam", -6, True, 1)]
+    found = U.evaluate(df, spark.createDataFrame(entries, "pattern string, category string, day long, adds boolean, seq long"))
+    assert found.columns == ["id", "url", "day", "part", "best", "i", *U.RESULT]
+    got = {r.id: (r.part, r.best, r.i, r.host, r.n_active, r.pattern, r.category, r.listed_on, r.blocked) for r in found.collect()}
+    own = ("own", "own", "own")
+    assert got == {0: (*own, "a.com", 1, "a.com", "spam", 0, True), 1: (*own, far, 2, "l299.a.com", "bad", 10, True), 2: (*own, "b.com", 0, None, None, None, False), 3: (*own, "", 0, None, None, None, False), 4: (*own, "a.com", 0, None, None, None, False)}

@@ -5,13 +5,16 @@ a domain with the first part of a path.  A pattern's entries become validity int
 addition's day to the day of the pattern's next entry.  Each capture is evaluated as of its fetch
 day: of the patterns that are active then and cover its URL the longest decides.
 
-Captures are first reduced to distinct (host, path part, day), so a host that holds a third of all
-captures costs a row a day.  Intervals are dealt to the spans of SPAN days that they touch, so the join is on
-(pattern, span) and one popular domain spreads over all spans.
+Captures are first reduced to distinct (host, path part, day), and these to distinct (pattern, day).  The as-of
+join is a merge: per pattern its days and the starts of its intervals are put in order, and each day takes the latest interval
+that began; it is active if it hasn't ended.  A pattern's group has a row a day at most for its captures and one for its
+entries, however many captures a domain has and however far apart days lie.
 
 Defined results: a null URL, or one without a host, has no patterns and isn't blocked; neither is a capture
-without a day.  Of several entries of a pattern on one day the one with the largest seq counts.
-Entries with a null pattern or day are ignored.  Repeated captures give repeated rows.
+without a day.  Of several entries of a pattern on one day the one with the largest seq counts (null last; then additions, then
+the larger category).  Entries with a null pattern or day are ignored; null `adds` is a removal.  Repeated captures give repeated rows;
+an empty table of captures gives no rows, an empty list blocks nothing.  Hosts of any number of labels and any length are taken whole.
+Columns of the captures that are named as a result (RESULT) aren't returned; all others are.
 """
 
 from __future__ import annotations
@@ -19,16 +22,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Days in a span of the range join.
-SPAN = 30
+#: The columns that evaluate() adds.
+RESULT = ["host", "n_active", "pattern", "category", "listed_on", "blocked"]
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _PART = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
 
 def keyed(captures: DataFrame) -> DataFrame:
-    """Adds the lower-case host and the first part of the path; '' where there is none."""
+    """Adds the lower-case host and the first part of the path; '' where there is none. Columns of these names go."""
     host = F.coalesce(F.rtrim(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit(".")), F.lit(""))
-    return captures.withColumn("host", host).withColumn("part", F.coalesce(F.regexp_extract("url", _PART, 1), F.lit("")))
+    others = [F.col(f"`{c}`") for c in captures.columns if c not in ("host", "part")]
+    return captures.select(*others, host.alias("host"), F.coalesce(F.regexp_extract("url", _PART, 1), F.lit("")).alias("part"))
 
 
 def patterns():
@@ -43,29 +47,37 @@ def patterns():
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, since, until) from entries (pattern, category, day, adds, seq); until is null while active."""
-    daily = entries.where("pattern is not null and day is not null").groupBy("pattern", "day").agg(F.max(F.struct("seq", "adds", "category")).alias("last"))
+    last = F.max(F.struct("seq", F.coalesce("adds", F.lit(False)).alias("adds"), "category")).alias("last")
+    daily = entries.where("pattern is not null and day is not null").groupBy("pattern", "day").agg(last)
     # one row a pattern and day, so a window holds no more than a pattern's days
     following = F.lead("day").over(Window.partitionBy("pattern").orderBy("day"))
     spans = daily.select("pattern", F.col("day").alias("since"), following.alias("until"), "last.adds", "last.category")
     return spans.where("adds").select("pattern", "category", "since", "until")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, span: int = SPAN) -> DataFrame:
+def as_of(asked: DataFrame, active: DataFrame) -> DataFrame:
+    """(pattern, day, category, since) for the distinct (pattern, day) of asked that lie in an interval."""
+    days = asked.select("pattern", "day").distinct().withColumn("i", F.lit(None).cast("struct<since:bigint,until:bigint,category:string>"))
+    starts = active.select("pattern", F.col("since").alias("day"), F.struct(F.col("since").cast("long").alias("since"), F.col("until").cast("long").alias("until"), "category").alias("i"))
+    both = days.withColumn("asks", F.lit(1)).unionByName(starts.withColumn("asks", F.lit(0)))
+    latest = F.last("i", ignorenulls=True).over(Window.partitionBy("pattern").orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = both.withColumn("i", latest).where("asks = 1 and i is not null and (i.until is null or day < i.until)")
+    return met.select("pattern", "day", "i.category", "i.since")
+
+
+def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Each capture (with url and day) with host, n_active, pattern, category, listed_on and blocked."""
-    captures = keyed(captures)
-    seen = captures.where("host != '' and day is not null").groupBy("host", "part", "day").agg(F.lit(1).alias("one")).drop("one")
-    asked = seen.select("host", "part", "day", F.explode(patterns()).alias("pattern")).withColumn("span", F.expr(f"day div {span}"))
-    reach = captures.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
-    first, last = (reach.a or 0, reach.b or 0) if reach else (0, 0)
-    active = intervals(entries).where((F.col("since") <= last) & (F.col("until").isNull() | (F.col("until") > first)))
-    end = F.least(F.coalesce(F.col("until") - 1, F.lit(last)), F.lit(last))
-    active = active.withColumn("span", F.explode(F.sequence(F.expr(f"greatest(since, {first}) div {span}"), F.floor(end / span).cast("long"))))
-    met = asked.join(active.withColumnRenamed("pattern", "p"), (F.col("pattern") == F.col("p")) & (asked.span == active.span) & (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    own = [c for c in captures.columns if c not in RESULT]
+    captures = captures.select(*[F.col(f"`{c}`") for c in own])
+    seen = keyed(captures.select("url", F.col("day").cast("long").alias("day"))).where("host != '' and day is not null").select("host", "part", "day").distinct()
+    asked = seen.select("host", "part", "day", F.explode(patterns()).alias("pattern"))
+    met = asked.join(as_of(asked, intervals(entries)), ["pattern", "day"])
     best = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "category", "since"))
     verdict = met.groupBy("host", "part", "day").agg(F.count("*").alias("n_active"), best.alias("best"))
-    found = captures.join(verdict, ["host", "part", "day"], "left")
+    keys = keyed(captures.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "url", F.col("day").cast("long").alias("day")))
+    found = keys.join(verdict, ["host", "part", "day"], "left")
     return found.select(
-        *[c for c in captures.columns if c not in ("host", "part")],
+        *[F.col("row")[c].alias(c) for c in own],
         "host",
         F.coalesce("n_active", F.lit(0)).alias("n_active"),
         F.col("best.pattern").alias("pattern"),
@@ -109,7 +121,7 @@ WITH k AS (
 l AS (SELECT *, CASE WHEN host = '' THEN 0 ELSE greatest(len(string_split(host, '.')) - 1, 1) END AS n FROM k),
 c AS (
   SELECT page_id, day, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS pattern
-  FROM l, range(1, 200) r(i) WHERE i <= n
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM l)
   UNION ALL SELECT page_id, day, host || '/' || part FROM l WHERE host <> '' AND part <> ''),
 h AS (SELECT pattern, md5(pattern) AS h FROM (SELECT DISTINCT pattern FROM c)),
 s AS (
