@@ -9,11 +9,13 @@ Reading: each manifest range is streamed, and a record comes out as rows (record
 at most CHUNK payload bytes each, with the payload's size and SHA-256 so far.  No record is held whole.
 
 Which payloads are equal is found from digests alone: an aggregate that combines before the shuffle.
-Digests that repeat are broadcast if they are counted to be few; else rows are joined by digest.
+Digests that repeat are broadcast if they are counted to be few; else ids alone are joined by digest, which a payload of very
+many pages makes a hot key, and the rows then by id and digest.
 
 Defined results: a null html is an empty payload.  A null page_id is never referred to while its
-payload has another id.  Rows that repeat both id and payload are all response (or
-all revisit).  A null url is left out of the record.
+payload has another id.  Rows that repeat both the smallest id and its payload are all response: nothing tells them apart,
+and a revisit would refer to its own id; repeats of a larger id are all revisits.  A null url is left out of the record.  Payloads of any
+length are streamed; an empty table gives no archives and no rows; other columns are neither written nor returned.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm.shared import bounded, folder, kept
+from wireloom.llm.shared import folder, kept
 
 #: Payload bytes in a chunk.
 CHUNK = 1 << 20
@@ -38,6 +40,10 @@ CHUNK = 1 << 20
 LEAST = 100
 #: Bytes of archive after which a manifest range, and a file, end.
 RANGE, FILE = 32 << 20, 1 << 30
+#: Repeated digests, of 80 bytes each, that are still broadcast.
+FEW = 1 << 18
+#: Ranges that are read by a task each; of more, a task reads about eight.
+READS = 1 << 14
 #: The WARC-Date of records, as the pages carry none.
 DATE = "1970-01-01T00:00:00Z"
 CHUNKS = "page_id long, record_type string, refers_to long, chunk_no int, payload_bytes long, payload_digest string, last boolean"
@@ -66,13 +72,21 @@ def head(page_id, url, digest: str, size: int, refers, date: str) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "surrogatepass") + http
 
 
-def write(pages: DataFrame, to: str, chunk: int = CHUNK, least: int = LEAST, date: str = DATE, level: int = 1) -> DataFrame:
+def write(pages: DataFrame, to: str, chunk: int = CHUNK, least: int = LEAST, date: str = DATE, level: int = 1, few: int = FEW) -> DataFrame:
     """Writes pages (page_id, url, html) as archives under the URI `to`; the manifest (file, start, size, records)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     same = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
-    same = bounded(kept(same.select("digest", "first")), 128)
-    rows = rows.join(same, "digest", "left").select("page_id", "url", "html", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers"))
+    same = kept(same.select("digest", "first"))
+    refers = F.expr("if(page_id <=> first, null, first)").alias("refers")
+    if same.count() <= few:
+        rows = rows.join(F.broadcast(same), "digest", "left").select("page_id", "url", "html", "digest", refers)
+    else:
+        ids = rows.where("page_id is not null").select("page_id", "digest").distinct().join(same, "digest").select("page_id", "digest", refers)
+        # a page without an id refers to its payload's first
+        none = rows.where("page_id is null").select("url", "html", "digest").join(same, "digest", "left")
+        none = none.select(F.lit(None).cast("long").alias("page_id"), "url", "html", "digest", F.col("first").alias("refers"))
+        rows = rows.where("page_id is not null").join(ids, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers").unionByName(none)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(to)
@@ -200,7 +214,9 @@ def read(manifest: DataFrame, of: str, chunk: int = CHUNK, data: bool = True) ->
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return manifest.repartition("file", "start").mapInArrow(make, CHUNKS + ", data binary" * data)
+    ranges = manifest.count()
+    # a number of its own, as the few small rows would else be read by one task
+    return manifest.repartition(max(1, min(ranges, max(READS, ranges // 8)))).mapInArrow(make, CHUNKS + ", data binary" * data)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
