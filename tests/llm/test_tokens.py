@@ -38,12 +38,12 @@ def test_bpe_equals_the_library(monkeypatch, library, part):
         assert e.decode(ids) == (t or "").encode()
 
 
-def test_matrix_and_heap_agree():
+def test_matrix_and_row_agree():
     e = bpe.Encoder(MULTI, public_tokenizers.PATTERN)
     rnd = random.Random(3)
     for _ in range(200):
         p = bytes(rnd.choices(b"abcdeth \xc3\xa9", k=rnd.randint(2, 120)))
-        assert e.matrix([p], 1 << (len(p) - 1).bit_length()) == [e.heap(p)]
+        assert e.matrix([p], 1 << (len(p) - 1).bit_length()) == [e.row(p)]
 
 
 def test_small_cache_gives_the_same(library):
@@ -145,3 +145,38 @@ def test_packing_leaves_little_padding(spark):
     for r in found:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert sum(1024 - n for n in used.values() if n & (n - 1)) < 0.01 * sum(used.values())
+
+
+def test_long_pieces_equal_the_library(library):
+    """Pieces of one character, of few, and of many, on both sides of the length from which a piece is a row of its own."""
+    e = bpe.Encoder(MULTI, public_tokenizers.PATTERN)
+    rnd = random.Random(9)
+    made = [x * n for x in ("a", "ab", "日", "é", "-") for n in (255, 256, 511, 512, 513, 1025)]
+    made += ["".join(rnd.choices(letters, k=n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyzABCDEF", "дежзик日本語") for n in (500, 513, 2000, 40000)]
+    for t, ids in zip(made, e.chunks.texts(made)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
+
+
+def test_a_merge_that_makes_a_lower_pair():
+    """A made vocabulary whose pairs come in any order of rank, against single merges."""
+    rnd = random.Random(11)
+    for seed in range(60):
+        words = {bytes([c]) for c in b"abc"}
+        while len(words) < 40:
+            words.add(rnd.choice(sorted(words)) + rnd.choice(sorted(words)))
+        order = sorted(words, key=lambda w: (len(w) > 1, rnd.random()))
+        e = bpe.Encoder.__new__(bpe.Encoder)
+        e.ranks = {w: k for k, w in enumerate(order)}
+        found = [(e.ranks[w[:k]] << 24 | e.ranks[w[k:]], r) for w, r in e.ranks.items() for k in range(1, len(w)) if w[:k] in e.ranks and w[k:] in e.ranks]
+        e.pairs = bpe.Pairs(*np.array(found, dtype=np.int64).T)
+        e.byte = np.array([e.ranks.get(bytes([k]), 0) for k in range(256)], dtype=np.int64)
+        piece = bytes(rnd.choices(b"abc", k=rnd.randint(2, 300)))
+        plain = [bytes([c]) for c in piece]
+        while True:
+            ranks = [(e.ranks[a + b], i) for i, (a, b) in enumerate(zip(plain, plain[1:])) if a + b in e.ranks]
+            if not ranks:
+                break
+            _, i = min(ranks)
+            plain[i : i + 2] = [plain[i] + plain[i + 1]]
+        assert np.frombuffer(e.row(piece), "<u4").tolist() == [e.ranks[w] for w in plain]
+        assert e.matrix([piece], 1 << (len(piece) - 1).bit_length()) == [e.row(piece)]

@@ -4,17 +4,18 @@ Distinct pieces of text that aren't yet known become rows of padded matrices, on
 power-of-two length.  In each round every row merges its leftmost pair of least rank;
 ranks of pairs come from an open-addressing hash table in arrays, merged places are closed up, and rows
 without a further pair leave.  A whole piece that is in the vocabulary is its own token.  A piece of
-over LONG bytes, for which a round's cost would be its length, merges through a heap instead,
-with the same result.  Known chunks are kept in a bounded dictionary per worker (tokens.Chunks).
+over LONG bytes is a matrix of one row: a round merges all places of its least rank, from the left, unless a
+merge makes a pair of lower rank (then the leftmost only), and places are closed up once half of them are merged; the
+order of merges, and so the result, is that of single merges.  Known chunks are kept in a bounded dictionary per worker (tokens.Chunks).
 
-Defined results: a null or empty text has no ids; repeated rows give repeated results.
+Defined results: a null or empty text has no ids; repeated rows give repeated results; an empty table gives no rows;
+texts of any length are encoded whole; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
@@ -99,7 +100,7 @@ class Encoder:
             if rank is not None:
                 out[p] = rank.to_bytes(4, "little")
             elif len(p) > LONG:
-                out[p] = self.heap(p)
+                out[p] = self.row(p)
             else:
                 sized.setdefault((len(p) - 1).bit_length(), []).append(p)
         for bits, rows in sized.items():
@@ -143,32 +144,41 @@ class Encoder:
             some = at > 0
             rank[every[some], at[some] - 1] = self.pairs(ids[every[some], at[some] - 1], ids[every[some], at[some]])
 
-    def heap(self, piece: bytes) -> bytes:
-        """The same merges for one long piece, in its length times the logarithm."""
+    def row(self, piece: bytes) -> bytes:
+        """The same merges in a row of any length; merged places are passed over by links until they are closed up."""
         ids = self.byte[np.frombuffer(piece, dtype=np.uint8)]
-        rank = self.pairs(ids[:-1], ids[1:]).tolist() + [int(NONE)]
-        ids = ids.tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [(r, k) for k, r in enumerate(rank) if r < NONE]
-        heapq.heapify(waiting)
-        token, lookup = self.token, self.ranks.get
-        while waiting:
-            r, k = heapq.heappop(waiting)
-            if rank[k] != r or ids[k] < 0:
-                continue
-            gone = after[k]
-            ids[k], ids[gone] = r, -1
-            after[k] = after[gone]
-            if after[k] < n:
-                before[after[k]] = k
-            for i in (before[k], k):
-                if i >= 0:
-                    j = after[i]
-                    rank[i] = lookup(token[ids[i]] + token[ids[j]], int(NONE)) if j < n else int(NONE)
-                    if rank[i] < NONE:
-                        heapq.heappush(waiting, (rank[i], i))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        while True:
+            n = len(ids)
+            # what stands after and before each place; n for none, and there an id that merges with nothing
+            after, before = np.arange(1, n + 2), np.arange(-1, n)
+            ids = np.append(ids, -1)
+            rank = np.append(self.pairs(ids[:-1], ids[1:]), NONE)
+            live = n
+            while live > n // 2 or live < 64:
+                least = rank.min()
+                if least == NONE:
+                    return ids[ids >= 0].astype("<u4").tobytes()
+                at = np.flatnonzero(rank == least)
+                if len(at) > 1:
+                    # of overlapping places every second, from the left
+                    chained = np.append(False, after[at[:-1]] == at[1:])
+                    start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                    at = at[(np.arange(len(at)) - start) % 2 == 0]
+                gone = after[at]
+                left, right = before[at], after[gone]
+                # as each merge finds it: those to its left are done, those to its right are not
+                merged = np.append(False, right[:-1] == at[1:])
+                new = np.full(len(at), least)
+                low = np.minimum(self.pairs(np.where(merged, least, ids[left]), new), self.pairs(new, ids[right]))
+                if len(at) > 1 and (low < least).any():
+                    at, gone = at[:1], gone[:1]
+                ids[at], ids[gone], rank[gone] = least, -1, NONE
+                after[at] = after[gone]
+                before[after[at]] = at
+                live -= len(at)
+                some = np.concatenate((at, before[at[before[at] >= 0]]))
+                rank[some] = self.pairs(ids[some], ids[after[some]])
+            ids = ids[ids >= 0]
 
     def decode(self, ids: bytes) -> bytes:
         at = np.frombuffer(ids, "<u4").tolist()
