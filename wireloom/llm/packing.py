@@ -3,11 +3,14 @@
 A document is its token ids and an end id.  Documents over a window are first cut into
 full windows, which are sequences of their own.  The rest of each document goes, longest first, to the
 open window with the least room that holds it; a segment tree over remaining capacities finds it.
-Each task packs blocks of at most BLOCK tokens of what its partition holds, so memory is
+Each task packs blocks of at most BLOCK tokens and ROWS pieces of what its partition holds, so memory is
 bounded and no row is shuffled; a block leaves only its last few windows unfilled.
 
+Strings of special tokens in a text are ordinary text, as in the vocabulary files' own description
+(encode_special_tokens = True); so no text can forge a document's end.
+
 Defined results: a null or empty text is the end id alone; repeated rows are packed each;
-an empty table gives no pieces.
+an empty table gives no pieces; texts of any length are encoded whole; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from wireloom.llm.tokens import from_tokenizers
 
 WINDOW = 1024
-#: Tokens that a task holds at once.
-BLOCK = 1 << 24
+#: Tokens, and pieces, that a task holds at once.
+BLOCK, ROWS = 1 << 24, 1 << 18
 END = b"\0\0\0\0"
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -102,7 +105,7 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, block: int = BLO
                         tokens += row[2]
             if done:
                 yield table(done)
-            if tokens > block:
+            if tokens > block or len(held) > ROWS:
                 following, out = settle(held, following)
                 yield table(out)
                 held, tokens = [], 0
