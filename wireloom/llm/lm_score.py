@@ -17,7 +17,8 @@ is thus never dealt, and which are taken as frequent changes no score.
 
 Defined results: a null, empty or blank text has no tokens and null losses and score.  Labels may
 repeat an id: it is a target if any row makes it one.  Without targets the target
-model is uniform.  Repeated documents are counted and scored each.
+model is uniform.  Repeated documents are counted and scored each.  An empty table gives no rows.  Texts of any length
+are read whole; a document's tokens, as numbers, are held at once.  Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -172,7 +173,9 @@ def frequent(documents: DataFrame, ids: dict[bytes, int] | None, common: int, sl
     found = kept(found.where("n > 1"))
     top = [found.where(f"pair = {x}").orderBy(F.desc("n"), "key").limit(most).toArrow() for x, most in (("false", common), ("true", slots))]
     key, pair, at = (np.asarray(t.column(c).to_numpy(), dtype=np.int64) for t, c in ((top[0], "key"), (top[1], "key"), (top[1], "at")))
-    return np.sort(key), np.sort(pair[np.isin(at, key)])
+    # a document's start is a context of every document
+    start = START if ids is None else len(ids) + 1
+    return np.unique(np.append(key, start)), np.sort(pair[np.isin(at, key)])
 
 
 def train(documents: DataFrame, targets: DataFrame, most: int | None = None, common: int = COMMON, slots: int = SLOTS, backing: float = BACKING) -> Model:
@@ -223,7 +226,7 @@ def train(documents: DataFrame, targets: DataFrame, most: int | None = None, com
     # at most 1 + 2 * COMMON + SLOTS rows, and one that counts the rare words
     counts = found.toArrow()
     rare = counts.column("rare").to_numpy()
-    size = int(counts.column("n").to_numpy()[rare].sum()) + n if ids is None else len(ids)
+    size = int(counts.column("n").to_numpy()[rare].sum()) + n - 1 if ids is None else len(ids)
     counts = counts.filter(pa.array(~rare))
     sums = np.zeros((2, 1 + 2 * n + len(pairs)))
     for k, name in enumerate(("target", "background")):
@@ -326,7 +329,9 @@ DOC = pa.struct([*((x, pa.int64()) for x in OUT[:3]), *((x, pa.float64()) for x
 def packed(parts: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
     """Rare rows as one value a bucket: a column after the other, by kind and document, each byte by byte, as it compresses best."""
     columns = [np.concatenate(x) for x in zip(*parts)]
-    bucket = (columns[0].view(np.uint64) * _MIX >> np.uint64(32)).astype(np.int64) % buckets
+    # keys are spread, one to one, and a bucket is a span of them, so that its keys share their first bits, which compress to nothing
+    columns[0] = (columns[0].view(np.uint64) * _MIX).view(np.int64)
+    bucket = ((columns[0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((np.minimum(columns[5], 0), bucket))
     bucket = bucket[order]
     columns = [x[order].astype(kind) for x, (_, kind) in zip(columns, _ROW)]
