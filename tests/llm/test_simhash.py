@@ -124,3 +124,37 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.grouped(docs).collect() == []
     assert simhash.stage(spark, docs, "").collect() == []
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_stage_keeps_the_unique_text_of_a_repeated_id(spark, turn):
+    """In either order of rows, also with columns named as the stage's own."""
+    texts = "some words for a text", "quite other words in here"
+    rows = [(1, texts[0], "x", "y", 0, 1), (5, texts[0], "x", "y", 0, 2), (5, texts[1], "x", "y", 0, 3)]
+    df = spark.createDataFrame(rows[:1] + rows[1:][:: -1 if turn else 1], "doc_id long, text string, fp string, doc string, none int, DOC_ID2 int").coalesce(1)
+    found = simhash.stage(spark, df, "")
+    assert found.columns == df.columns and sorted(map(tuple, found.collect())) == [rows[0], rows[2]]
+
+
+def test_stage_moves_rows_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = simhash.stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert sum("text" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line) <= 1, plan
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        simhash.kept.__globals__["folder"](Session())

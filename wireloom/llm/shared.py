@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (as in tests), a folder in the warehouse."""
+    """The session's spark.checkpoint.dir; where it is unset and Spark runs on this machine alone (as in tests), a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

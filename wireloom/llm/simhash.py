@@ -10,16 +10,19 @@ xor and bit_count in generated code.
 The range join: the 32 counts form six groups.  Of two embeddings within distance 2 at least four
 groups are equal, so each fingerprint goes to the 15 grid cells that fix four groups; a cell's
 fingerprints are compared, first in Manhattan distance, then exactly.  Cells of more than CELL
-distinct fingerprints are not compared pairwise: two fingerprints differ in at most 2 bits just
-if some 64-bit value is within 1 bit of both, so their fingerprints are linked through their 65
-neighbours each, exactly, with rows in proportion.
+distinct fingerprints aren't compared pairwise, as their pairs grow with the square: there the range join goes over the
+finest grid, whose segments are single bits, so that its Manhattan distance is the Hamming distance itself.  Both sides
+of a pair within 2 reach one cell within 1 of each, so a fingerprint goes to its own cell and the 64 next to it, and the
+fingerprints of a cell (65 at most) are linked through its least; all lie within 2 of one another.  Rows stay in proportion, and
+the links connect the same fingerprints.
 
 Only cells of two or more fingerprints are joined, salted, so a cell may hold any share of
 the rows.  Exact copies meet in one fingerprint before any join.
 
 Defined results: a null, empty or blank text has fingerprint 0, linked as any other.  Repeated ids
 each get a row; a null id gets a row too, and its component's smallest id is taken over
-ids that aren't null (null if there is none).
+ids that aren't null (null if there is none).  An empty table gives no rows; texts of any length are read whole; of
+other columns only stage() takes notice, which keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,7 +125,7 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     pairs = a.join(b, ["pos", "key"]).where("a < b and bit_count(ea ^ eb) <= 2 and bit_count(a ^ b) <= 2").select("a", "b").distinct()
     many = met.where(F.col("n") > cell).select("fp").distinct()
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << k))) for k in range(64)])
-    # a point has at most 65 distinct fingerprints within 1 bit
+    # a cell of the finest grid has at most 65 distinct fingerprints within 1
     balls = many.select("fp", F.explode(near).alias("point")).groupBy("point").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all"))
     stars = balls.where("size(all) > 1").select(F.explode("all").alias("a"), "b").where("a != b")
     return pairs.union(stars)
@@ -156,10 +159,26 @@ def marked(docs: DataFrame, name: str, size: int = 3) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints: that with the smallest id, rows without an id last."""
-    rows = marked(docs, "_fp")
-    fps = kept(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("doc")))
+    """One row of each group of linked fingerprints: that with the smallest id, rows without an id last.
+
+    Which row stays is decided on fingerprints and ids; rows move once, to meet that.  Rows that share the id and the
+    fingerprint are one document.
+    """
+    fp, doc, none = free(docs, "fp"), free(docs, "doc"), free(docs, "none")
+    rows = marked(docs, fp)
+    fps = kept(rows.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("doc")))
     of = fps.join(kept(components(links(fps))), F.col("fp") == F.col("node"), "left")
-    best = of.groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct(F.col("doc").isNull(), "doc", "fp")).alias("best")).select("best.doc", "best.fp")
-    found = rows.join(best, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_fp") == F.col("fp")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_fp"]).select(docs.columns)
+    best = of.groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct(F.col("doc").isNull(), "doc", "fp")).alias("best"))
+    # keys without nulls, so that the rows stay where the join has put them when repeats go
+    key = lambda c: (F.coalesce(c, F.lit(0)).cast("long").alias(doc), c.isNull().alias(none))
+    best = best.select(F.col("best.fp").alias(fp), *key(F.col("best.doc")))
+    found = rows.select("*", *key(F.col("doc_id"))).join(best, [fp, doc, none], "left_semi")
+    return found.dropDuplicates([fp, doc, none]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
