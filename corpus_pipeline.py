@@ -25,11 +25,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that the stages keep."""
+    """The packed pieces of the documents that the stages keep.
+
+    The classifiers train on the labels of the documents that their stage receives; where none of these has a label, or
+    all have the same, the stage keeps what its rules keep.  A stage's table goes once the next one is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = f"{at}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{k - 1}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return docs
