@@ -179,7 +179,7 @@ def test_prefixes_mean_different_things(spark):
 
 
 def test_router(spark):
-    packs = {n: (list(p.prefixes), p.keywords) for n, p in domains.PACKS.items()}
+    packs = {n: (list(p.prefixes), p.keywords) for n, p in domains.packs().items()}
     rows = [(1, "10K R1 uF"), (2, "steam inlet FIC101"), (3, ""), (4, None), (5, "R1 PUMP"), (6, "LIC22outlet pump")]
     got = {r.k: (r.electronic, r.pid, r.domain) for r in text.router_scores(spark.createDataFrame(rows, "k int, text string"), packs).collect()}
     assert got == {1: (2, 0, "electronic"), 2: (0, 3, "pid"), 3: (0, 0, "electronic"), 4: (0, 0, "electronic"), 5: (1, 1, "electronic"), 6: (0, 3, "pid")}
@@ -329,3 +329,116 @@ def test_partitions_and_row_order_don_t_matter(spark):
         pred = made(spark, rows).withColumn("type", F.lit("R")).repartition(n)
         runs_.append(sorted((r.drawing_id, r.gi, r.pi) for r in evaluate.matches(gold.repartition(n), pred).collect()))
     assert runs_[0] == runs_[1]
+
+
+def merge_by_restarting(rows, least):
+    """The definition: the first overlapping pair in order is joined in the earlier place, then all over again."""
+    rows = list(rows)
+    while True:
+        for i, j in ((i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))):
+            a, b = rows[i], rows[j]
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            if w > 0 and h > 0 and w * h / min((r[2] - r[0]) * (r[3] - r[1]) for r in (a, b)) >= least:
+                rows[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+                del rows[j]
+                break
+        else:
+            return rows
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merge_equals_restarting(seed):
+    rnd = random.Random(seed)
+    for _ in range(60):
+        rows = []
+        for _ in range(rnd.choice([0, 1, 5, 25])):
+            x, y = rnd.randrange(60), rnd.randrange(60)
+            rows.append((x, y, x + rnd.randrange(1, 25), y + rnd.randrange(0, 25)))
+        assert merge(rows) == merge_by_restarting(rows, 0.5)
+
+
+def test_nets_are_numbered_over_all_components(spark):
+    """A lone pixel and a blot without arms take a number, so ids have gaps; junctions come after pixels."""
+    picture = ["#....####", ".........", "..##.....", "..##.....", ".........", "####.....", ".........", "........#"]
+    found = graph.nets(graph.rewired(*drawn(spark, picture)))
+    got = {r.net_id: r.n for r in found.groupBy("net_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {"N001": 4, "N002": 4}
+    assert graph.nets(graph.rewired(*drawn(spark, ["##", "##"]))).collect() == []
+    empty = drawn(spark, ["#"])[0].where("y < 0")
+    assert graph.nets(graph.rewired(empty, empty)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_rewiring_against_sets(spark, seed):
+    """The same rules over sets and dictionaries, on random strokes."""
+    rnd = random.Random(seed)
+    pixels = {(rnd.randrange(14), rnd.randrange(14)) for _ in range(rnd.choice([5, 30, 60]))}
+    for _ in range(3):
+        y, x, n = rnd.randrange(14), rnd.randrange(14), rnd.randrange(4, 10)
+        pixels |= {(y, x + k) for k in range(n)} | {(y - 3 + k, x + 3) for k in range(n)}
+    dots = {(rnd.randrange(14), rnd.randrange(14)) for _ in range(2)}
+    around = lambda p: [q for q in ((p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b) if q in pixels]
+    branch = {p for p in pixels if len(around(p)) >= 3}
+    links = {(0, *p): set() for p in pixels - branch}
+
+    def join(a, b):
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+
+    for p in pixels - branch:
+        for q in around(p):
+            if q not in branch:
+                join((0, *p), (0, *q))
+    left = set(branch)
+    while left:
+        region, todo = set(), [left.pop()]
+        while todo:
+            p = todo.pop()
+            region.add(p)
+            more = [q for q in around(p) if q in left]
+            left -= set(more)
+            todo += more
+        arms = sorted((*p, *q) for p in region for q in around(p) if q not in region)
+        cy, cx = (int(sum(p[k] for p in region) / len(region)) for k in (0, 1))
+        if any(abs(cy - y) <= 4 and abs(cx - x) <= 4 for y, x in dots) or len(arms) < 4:
+            links.setdefault((1, cy, cx), set())
+            for a in arms:
+                join((1, cy, cx), (0, *a[2:]))
+        else:
+            for i, j in graph.opposite([(math.atan2(a[2] - a[0], a[3] - a[1]), k) for k, a in enumerate(arms)]):
+                join((0, *arms[i][2:]), (0, *arms[j][2:]))
+    parts, seen = [], set()
+    for node in sorted(links):
+        if node not in seen:
+            part, todo = set(), [node]
+            while todo:
+                n = todo.pop()
+                if n not in part:
+                    part.add(n)
+                    todo += links[n]
+            seen |= part
+            parts.append(part)
+    want = {(k, *n) for k, part in enumerate(parts) if len(part) > 1 for n in part}
+    one = lambda rows: spark.createDataFrame([(7, *p) for p in rows], "drawing_id long, y int, x int")
+    found = graph.nets(graph.rewired(one(pixels).repartition(3), one(dots)))
+    assert {(r.net_ord, r.node.kind, r.node.y, r.node.x) for r in found.collect()} == want
+
+
+def test_nearest_leaves_odd_vectors_out(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 1), (3, None, 1), (4, [None, 1.0], 1), (5, [1.0], 1), (6, [0.0, 1.0], 2), (7, [1.0, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, label int")
+    found = evidence.nearest(df.select(F.col("vec_id").alias("query_id"), "v"), df, 2)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} == {(1, 1, 7), (1, 2, 2), (2, 1, 1), (2, 2, 7), (6, 1, 2), (6, 2, 1), (7, 1, 1), (7, 2, 2)}
+    assert evidence.nearest(df.limit(0).select(F.col("vec_id").alias("query_id"), "v"), df).collect() == [] and evidence.nearest(df.select(F.col("vec_id").alias("query_id"), "v"), df.limit(0)).collect() == []
+
+
+def test_scores_are_not_rounded_before_ranking(spark):
+    """Sums in the order of sources decide, to the last place."""
+    rows = [(1, "a", 0, 0, "X", 0.1, 1.0), (1, "b", 1, 0, "X", 0.2, 1.0), (1, "c", 2, 0, "X", 0.3, 1.0), (1, "b", 1, 1, "Y", 0.6, 1.0)]
+    df = spark.createDataFrame(rows, "k int, source string, source_ord int, class_ord int, class string, score double, confidence double").repartition(4)
+    assert [(r["class"], r.total) for r in evidence.fused(df, {}, ["k"]).orderBy("rank").collect()] == [("X", 0.1 + 0.2 + 0.3), ("Y", 0.6)]
+
+
+def test_far_boxes_have_few_cells(spark):
+    a = made(spark, [(1, 0, -(10**9), 0, 10**9, 10), (1, 1, 10**9 - 5, 0, 10**9, 10), (1, 2, 0, 0, 5, 5)])
+    assert sorted((r.a_idx, r.b_idx) for r in boxes.overlapping(a).collect()) == [(0, 1), (0, 2)]

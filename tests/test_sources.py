@@ -227,3 +227,248 @@ def test_scores_from_files_and_commands(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["electronic", "pid"]
     main(["eval", f"{tmp_path}/gold", f"{tmp_path}/pred"])
     assert "TOTAL" in capsys.readouterr().out
+
+
+def page(*more):
+    """Wires from the left and right to a coil, and a loose stroke."""
+    picture = np.full((120, 200), 255, np.uint8)
+    picture[60:62, 5:62] = 0
+    picture[60:62, 100:150] = 0
+    for x in range(62, 100, 6):
+        picture[50:72, x : x + 2] = 0
+    picture[50:52, 62:100] = 0
+    picture[70:72, 62:100] = 0
+    picture[52:60, 62:70] = 0
+    picture[110:112, 20:60] = 0
+    return picture
+
+
+def test_pictures_to_json(spark, tmp_path, capsys):
+    """Detections, evidence, specialists, templates, text, nets, findings and JSON in one plan; the expected values follow from how the page is drawn."""
+    from wireloom.plans import interpret
+
+    picture = page()
+    box = {"x0": 60, "y0": 48, "x1": 102, "y1": 74}
+    other = {"x0": 150, "y0": 50, "x1": 180, "y1": 72}
+    picture[50:72, 150:180] = 0  # a solid block at the end of the right wire
+    png(tmp_path / "pages/D1.png", picture)
+    png(tmp_path / "pages/D2.png", np.full((30, 30), 255, np.uint8))
+    png(tmp_path / "lib/Inductor/coil.png", picture[48:74, 60:102])
+    png(tmp_path / "lib/Load/block.png", picture[50:72, 150:180])
+    (tmp_path / "lib/Inductor/coil.terminals.json").write_text('[{"name": "1", "point": [0, 13], "body": [5, 13]}, {"name": "2", "point": [41, 13], "body": [36, 13]}]')
+    images = drawings.images(spark, str(tmp_path / "pages"))
+    tokens = spark.createDataFrame([("D1", 0, "L7 10uH", 70, 30, 95, 40, 0.9, 0), ("D1", 1, "OHM", 0, 0, 9, 9, 0.9, 0)], interpret.TOKENS)
+    detect = lambda g: [b | {"kind": "symbol", "class": k, "confidence": p, "source": "synthetic_yolo"} for b, k, p in ((box, "Inductor", 0.5), (other, None, None))] if g.shape[1] == 200 else []
+    embed = interpret.averages()
+    lib = library.built(spark, str(tmp_path / "lib"), str(tmp_path / "cache"), embed, "averages")
+    assert lib.count() == 16 and library.built(spark, str(tmp_path / "lib"), str(tmp_path / "cache"), None, "averages").count() == 16
+    given = interpret.Given(tokens=tokens, detect=detect, library=lib, terminals=library.ends(spark, str(tmp_path / "lib")), embed=embed)
+    found = interpret.interpret(spark, images, Config(), given)
+    symbols = {r.idx: r for r in found["symbols"].collect()}
+    assert {k: (r.drawing_id, r.id, r["class"], r.value, r.label_source) for k, r in symbols.items()} == {0: ("D1", "L7", "Inductor", "10uH", "ocr"), 1: ("D1", "SYM_001", "Load", None, "classification")}
+    # the detector's 1.2 x 0.5, the nearest picture's 1 and the label's 0.55
+    assert abs(symbols[0].score - (0.6 + 1 + 0.55)) < 1e-6 and symbols[0].rotation == 0
+    ends = {(r.id, r.idx): r for r in found["terminals"].collect()}
+    assert (ends["L7", 0].x, ends["L7", 1].x, ends["L7", 0].source, ends["L7", 0].direction_deg) == (60, 102, "inferred", 180.0)
+    assert ends["L7", 1].net_id == ends["SYM_001", 0].net_id != ends["L7", 0].net_id
+    sheets_ = {r.drawing_id: json.loads(r.json) for r in found["json"].collect()}
+    assert sheets_["D2"] == {"symbols": []}
+    assert [(s["id"], s["type"], s["coordinates"], s["connections"]) for s in sheets_["D1"]["symbols"]] == [("L7", "Inductor", [60, 48, 102, 74], ["SYM_001"]), ("SYM_001", "Load", [150, 50, 180, 72], ["L7"])]
+    # the left wire ends in one terminal, the loose stroke in none
+    assert sorted((r.kind, r.object_id) for r in found["findings"].collect()) == [("single_terminal", ends["L7", 0].net_id), ("single_terminal", max(r.net_id for r in found["nets"].collect()))]
+    assert {r.drawing_id: r.domain for r in found["routes"].collect()} == {"D1": "electronic", "D2": "electronic"}
+    assert {"route", "localize", "classify", "wires", "output"} <= set(found["timings"]) and all(round(t, 4) == t for t in found["timings"].values())
+
+
+def test_run_and_build_commands(spark, tmp_path, capsys):
+    from wireloom.__main__ import main
+
+    png(tmp_path / "pages/D1.png", page())
+    png(tmp_path / "lib/Coil/c.png", page()[48:74, 60:102])
+    main(["run", str(tmp_path / "pages"), str(tmp_path / "out"), "--library", str(tmp_path / "lib")])
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert told["drawings"] == 1 and told["symbols"] >= 1 and all(isinstance(v, float) for v in told["timing"].values())
+    written = {r.drawing_id: json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/json")).collect()}
+    assert written["D1"]["symbols"]
+    assert spark.read.text(str(tmp_path / "out/overlays")).first().value.startswith("<svg")
+    main(["build-library", str(tmp_path / "lib"), str(tmp_path / "cache")])
+    assert capsys.readouterr().out.split()[-2:] == ["8", "entries"]
+
+
+def test_second_detector_and_answers(spark, tmp_path, caplog, monkeypatch):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from wireloom.sources import detectors
+    from wireloom.sources.domains import Detector
+
+    asked = []
+
+    class Host(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            text = b'{"predictions": [{"x": 5, "y": 5, "width": 6, "height": 4, "confidence": 0.5}, {"x": -9, "y": 0, "width": 2, "height": 2}]}'
+            self.send_response(200 if self.headers["Authorization"] == "Bearer k" else 403)
+            self.end_headers()
+            self.wfile.write(text)
+
+        def log_message(self, *a):
+            pass
+
+    host = HTTPServer(("127.0.0.1", 0), Host)
+    threading.Thread(target=host.serve_forever, daemon=True).start()
+    spec, at = Detector("hosted", "w/p/2", 0.3, 0.4), f"http://127.0.0.1:{host.server_address[1]}/"
+    found = detectors.hosted(spec, at, "k")(np.zeros((20, 30), np.uint8))
+    assert [(b["x0"], b["y0"], b["x1"], b["y1"], b["class"], b["confidence"]) for b in found] == [(2, 3, 8, 7, None, 0.5)] and asked[0]["model"] == "w/p/2"
+    for _ in range(2):
+        assert detectors.hosted(spec, at, "wrong")(np.zeros((2, 3), np.uint8)) == []
+    host.shutdown()
+    assert len([r for r in caplog.records if "w/p/2" in r.message]) == 1
+    monkeypatch.delenv(detectors.URL, raising=False)
+    monkeypatch.chdir(tmp_path)
+    assert detectors.hosted(Detector("hosted", "m"))(np.zeros((2, 3), np.uint8)) == []
+    (tmp_path / ".env").write_text("# no\nA = b=c\nbad\n")
+    assert detectors.environment() == {"A": "b=c"}
+    own = lambda g: []
+    assert detectors.provided(Detector("local", "m"), {"m": own}) is own and detectors.provided(None) is None and detectors.provided(Detector("x", "m")) is None
+    (tmp_path / "share/tessdata").mkdir(parents=True)
+    (tmp_path / "share/tessdata/eng.traineddata").touch()
+    monkeypatch.delenv("TESSDATA_PREFIX", raising=False)
+    assert detectors.reading_data(str(tmp_path)) == str(tmp_path / "share/tessdata") and detectors.reading_data("/none") is None
+    calls = []
+
+    def answer(df):
+        rows = df.collect()
+        calls.append(len(rows))
+        return spark.createDataFrame([(r.key, r.key * 2) for r in rows], "key string, said string")
+
+    for rows, new in ((["a", "a", "b"], 2), (["b", "c"], 1), (["a"], 0)):
+        got = detectors.answered(spark, spark.createDataFrame([(r,) for r in rows], "key string"), str(tmp_path / "answers"), answer)
+        assert sorted((r.key, r.said) for r in got.collect()) == [(r, r * 2) for r in sorted(set(rows))] and calls[-1] == new
+
+
+def test_server(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from wireloom import server
+
+    serving = server.server(lambda body: server.process(spark, body, Config()), 0)
+    threading.Thread(target=serving.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{serving.server_address[1]}/api/process"
+    png(tmp_path / "p.png", page())
+    with urllib.request.urlopen(urllib.request.Request(at, (tmp_path / "p.png").read_bytes()), timeout=300) as answer:
+        said = json.load(answer)
+    assert said["domain"] == "electronic" and said["json"]["symbols"] and said["overlay"].startswith("data:image/svg+xml;base64,")
+    assert server.numeric({"a": 1, "b": "x", "c": 0.5, "d": True}) == {"a": 1, "c": 0.5}
+    with pytest.raises(urllib.error.HTTPError) as e:
+        urllib.request.urlopen(urllib.request.Request(at, b"no picture"), timeout=300)
+    assert e.value.code == 500 and json.load(e.value)["error"].startswith("ValueError: ")
+    serving.shutdown()
+
+
+def test_sheets(spark):
+    from wireloom.sinks import sheets
+
+    rows = [(1, k, f"S{k}", t, 10 * k, 0, 10 * k + 5, 5) for k, t in enumerate(["R", "C", "Unknown", "R", "<L>"])]
+    symbols = spark.createDataFrame(rows, "drawing_id int, idx int, id string, type string, x0 int, y0 int, x1 int, y1 int")
+    assert {r.id: r.colour for r in sheets.coloured(symbols).collect()} == {"S4": sheets.PALETTE[0], "S1": sheets.PALETTE[1], "S0": sheets.PALETTE[2], "S3": sheets.PALETTE[2], "S2": sheets.RED}
+    edges = spark.createDataFrame([(1, "S0", "S1"), (1, "S1", "S0"), (1, "S3", "S4"), (1, "S4", "S1"), (1, "S2", "S2")], "drawing_id int, a string, b string")
+    parts = {r.id: (r.part, r["size"]) for r in sheets.components(symbols, edges).collect()}
+    assert parts == {"S0": (0, 4), "S1": (0, 4), "S3": (0, 4), "S4": (0, 4), "S2": (1, 1)}
+    at = {r.id: (r.x, r.y) for r in sheets.laid_out(sheets.components(symbols, edges)).collect()}
+    assert at["S2"] == (360.0, 120.0) and len(set(at.values())) == 5
+    import xml.etree.ElementTree as ET
+
+    drawn = ET.fromstring(sheets.graphs(symbols, edges).first().svg)
+    assert [len(drawn.findall(f"{{http://www.w3.org/2000/svg}}{t}")) for t in ("line", "circle")] == [3, 5]
+    pages = spark.createDataFrame([(1, 80, 20), (2, 5, 5)], "drawing_id int, width int, height int")
+    svg = {r.drawing_id: ET.fromstring(r.svg) for r in sheets.overlays(symbols, pages).collect()}
+    assert len(svg[1]) == 10 and len(svg[2]) == 0 and svg[1][9].text == "S4 <L>"
+    html = sheets.pages(symbols, edges, spark.createDataFrame([(1, '{"id":"a<b"}')], "drawing_id int, json string")).first().html
+    assert "<tr><td>S1</td><td>C</td><td>2</td></tr>" in html and "<b>&quot;id&quot;</b>" in html and "a&lt;b" in html
+
+
+def test_packs_from_files(tmp_path, spark):
+    (tmp_path / "packs/tubes").mkdir(parents=True)
+    (tmp_path / "packs/tubes/pack.yaml").write_text("designators_path: t.yaml\nrouter_keywords: [anode]\nevidence_weights: {yolo: 2}\nreal_detector: {provider: local, model_id: m.pt, conf: 0.2}\nreference_dir: pictures\n")
+    (tmp_path / "packs/tubes/t.yaml").write_text("designators:\n  v: {Tube: 0.75, Valve: 0.25}\npart_number_families:\n  - {pattern: 'EL8[34]', class: Tube}\n")
+    (tmp_path / "packs/flat.json").write_text('{"designators": {"X": {"Thing": 1}}, "specialists": [{"name": "own", "classes": ["Thing"]}]}')
+    assert domains.listed(tmp_path / "packs") == ["electronic", "flat", "pid", "tubes"]
+    pack = domains.load("tubes", tmp_path / "packs")
+    assert pack.prefixes == {"V": {"Tube": 0.75, "Valve": 0.25}} and pack.families == [("EL8[34]", "Tube")] and pack.keywords == ["ANODE"]
+    assert (pack.weights["yolo"], pack.weights["dinov2"]) == (2.0, 1.0) and pack.detector.conf == 0.2 and pack.paths["reference_dir"] == str(tmp_path / "packs/tubes/pictures")
+    assert [tuple(r) for r in domains.prefix_table(spark, pack).collect()] == [("V", 0, "Tube", 0.75), ("V", 1, "Valve", 0.25)]
+    assert domains.load("flat", tmp_path / "packs").groups == [("own", ["Thing"])]
+    with pytest.raises(ValueError, match="electronic, pid"):
+        domains.load("none")
+    assert len(domains.load("electronic").prefixes) == 21 and len(domains.load("pid").prefixes) == 52 and len(domains.load("electronic").families) == 15
+
+
+def test_config_in_blocks(tmp_path):
+    (tmp_path / "c.yaml").write_text("domain: pid\nwires: {terminal_directional_reach: 45, unknown: 1}\nclassify:\n  rotations: [0, 180]\n  mirror: false\npreprocess:\noutput: {outputs_dir: o}\n")
+    assert Config.load(str(tmp_path / "c.yaml")) == Config(domain="pid", snap_reach=45, turns=(0, 180), mirror=False, outputs="o")
+    (tmp_path / "c.json").write_text('{"mirror": 3}')
+    with pytest.raises(TypeError):
+        Config.load(str(tmp_path / "c.json"))
+
+
+def test_level_crop_and_colour():
+    yy, xx = np.mgrid[:200, :300]
+    for degrees in (-4.0, 0.0, 2.5, 4.5):
+        a = np.radians(degrees)
+        u, v = np.cos(a) * (xx - 150) + np.sin(a) * (yy - 100), -np.sin(a) * (xx - 150) + np.cos(a) * (yy - 100)
+        mask = (abs(u) < 100) & (abs(v) < 50)
+        assert abs(raster.skew(mask) - degrees) < 0.6
+        level, by = raster.deskewed(mask)
+        assert (by == 0) == (degrees == 0) and abs(raster.skew(level)) < 0.6
+    assert raster.skew(np.zeros((9, 9), bool)) == 0.0
+    tilted = np.abs(xx - yy) < 20
+    assert raster.deskewed(tilted)[1] == 0.0  # too far
+    picture = np.arange(20, dtype=np.uint8).reshape(4, 5)
+    assert raster.crop(picture, 1, 1, 3, 2).tolist() == [[6, 7]] and raster.crop(picture, -5, -5, 1, 1).tolist() == [[0]] and raster.crop(picture, 9, 9, 12, 12).size == 0
+    ink = np.array([[[255, 0, 0], [0, 0, 255], [0, 255, 0], [10, 10, 10], [200, 120, 100]]], np.uint8)
+    assert raster.blue(ink).tolist() == [[True, False, False, False, True]] and not raster.blue(ink[..., 0]).any()
+    flat = np.full((4, 6), 77, np.uint8)
+    assert (raster.enlarged(flat, 3) == 77).all() and raster.enlarged(flat, 3).shape == (12, 18)
+    ramp = raster.enlarged(np.tile(np.arange(0, 200, 10, dtype=np.uint8), (3, 1)), 3)[4]
+    assert (np.diff(ramp[12:-12].astype(int)) >= 0).all()
+
+
+def test_circles_rectangles_and_arrowheads(spark):
+    canvas = np.full((80, 80), 255, np.uint8)
+    raster.arc(canvas, 40, 38, 25, 2)
+    ring = raster.circle(canvas < 128)
+    assert ring and max(abs(ring[0] - 40), abs(ring[1] - 38), abs(ring[2] - 25)) <= 1
+    body = np.full((80, 40), 255, np.uint8)
+    raster.line(body, [(12, 15), (28, 15), (28, 65), (12, 65), (12, 15)], 2)
+    assert raster.circle(body < 128) is None and raster.rectangular(body < 128) and not raster.rectangular(canvas < 128)
+    assert specialists.shapes(canvas) == {"circle": True, "rectangle": False} and specialists.shapes(body) == {"circle": False, "rectangle": True} and specialists.shapes(body[:9]) is None
+    yy, xx = np.mgrid[:80, :80]
+    for out, want in ((True, "BJT_NPN"), (False, "BJT_PNP")):
+        picture = canvas.copy()
+        head = (xx - 44) if out else (56 - xx)  # a triangle along the x axis
+        picture[(head >= 0) & (head <= 12) & (np.abs(yy - 38) <= (12 - head) / 2)] = 0
+        assert specialists.transistor(picture) == (want, 0.6)
+    assert specialists.transistor(body) is None
+    crops = spark.createDataFrame([(1, 80, 80, bytearray(canvas.tobytes())), (2, 80, 40, bytearray(body.tobytes())), (3, 80, 40, bytearray(body.tobytes()))], "k int, height int, width int, data binary")
+    routes = spark.createDataFrame([(1, "bjt_potentiometer"), (2, "bjt_potentiometer"), (3, "own")], "k int, route string")
+    own = {"own": lambda: F.array(F.struct(F.lit("Box").alias("class"), F.lit(1.0).alias("score"), F.lit(0.5).alias("confidence")))}
+    got = sorted((r.k, r.source, r["class"], r.score, r.confidence) for r in specialists.opinions(crops, routes, ["k"], says=own).collect())
+    assert got == [(1, "geometry:bjt_potentiometer", "BJT_NPN", 0.5, 0.75), (1, "geometry:bjt_potentiometer", "BJT_PNP", 0.5, 0.75), (2, "geometry:bjt_potentiometer", "Potentiometer", 1.0, 0.6), (3, "geometry:own", "Box", 1.0, 0.5)]
+
+
+def test_kicad_pictures(spark, tmp_path):
+    from wireloom.sources import kicad
+
+    (tmp_path / "a.kicad_sym").write_text('(kicad_symbol_lib (symbol "A" (rectangle (start -1 -1) (end 1 1)) (circle (center 0 0) (radius 0.5)) (pin passive line (at -2 0 0) (length 1) (number "1")) (polyline (pts (xy 0 1) (xy 0 2))) (arc (start 1 0) (mid 1.5 0.5) (end 2 0))) (symbol "Empty"))')
+    (tmp_path / "b.kicad_sym").write_text('(kicad_symbol_lib (symbol "B" (arc (start 0 0) (mid 1 0) (end 2 0))))')
+    parts = kicad.symbols(spark, str(tmp_path))
+    assert kicad.symbols(spark, str(tmp_path / "b.kicad_sym")).count() == 1 and parts.count() == 6  # two reads in one session
+    found = {r.symbol: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) for r in kicad.pictures(parts).collect()}
+    a = found["A"]
+    assert a.shape == (60 + 24, 80 + 24)
+    on = lambda x, y: a[int((2 - y) * 20) + 12, int((x + 2) * 20) + 12]
+    assert all(on(*p) == 0 for p in ((-1, 0.5), (1, 1), (0, -1), (-1.5, 0), (0, 1.5), (0.5, 0), (0, 0.5), (1.5, 0.5))) and all(on(*p) == 255 for p in ((0, 0.2), (0.8, -0.5), (1.5, -0.5), (-1.5, 0.5)))
+    assert (found["B"] == 0).sum() >= 40

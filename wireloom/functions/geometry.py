@@ -18,14 +18,14 @@ class Box:
 
     @property
     def area(self) -> Column:
-        return (self.x1 - self.x0) * (self.y1 - self.y0)
+        return (self.x1 - self.x0).cast("long") * (self.y1 - self.y0)
 
 
 def shared_area(a: Box, b: Box) -> Column:
     """Area that both boxes cover; 0 if they only touch or are apart."""
     w = F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)
     h = F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0)
-    return F.when((w > 0) & (h > 0), w * h).otherwise(0)
+    return F.when((w > 0) & (h > 0), w.cast("long") * h).otherwise(0)
 
 
 def ratio(part: Column, whole: Column) -> Column:

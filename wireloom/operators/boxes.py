@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from wireloom.functions.geometry import Box, gap, iou, overlap_of_smaller, union
 
 CELL = 256
+#: Cells on either side of the origin; what lies farther shares the last, so that no box has cells without end.
+MOST = 1 << 10
+
+
+def cell_of(place: Column, cell: int) -> Column:
+    return F.least(F.greatest(F.floor(place / cell), F.lit(-MOST)), F.lit(MOST))
 
 
 def in_cells(df: DataFrame, prefix: str, reach: int, cell: int) -> DataFrame:
     def along(axis: str) -> Column:
-        low, high = (F.floor((F.col(f"{prefix}{axis}{k}") + d) / cell) for k, d in ((0, -reach), (1, reach)))
+        low, high = (cell_of(F.col(f"{prefix}{axis}{k}") + d, cell) for k, d in ((0, -reach), (1, reach)))
         return F.explode(F.sequence(low, F.greatest(low, high)))
 
     return df.withColumn("cell_x", along("x")).withColumn("cell_y", along("y"))
@@ -28,7 +34,7 @@ def meeting(a: DataFrame, b: DataFrame, by: list[str], reach: int = 0, cell: int
     left, right = in_cells(a, "a_", reach, cell), in_cells(b, "b_", 0, cell)
     p, q = Box("a_"), Box("b_")
     near = (p.x0 - reach <= q.x1) & (q.x0 <= p.x1 + reach) & (p.y0 - reach <= q.y1) & (q.y0 <= p.y1 + reach)
-    corner = (F.floor(F.greatest(p.x0 - reach, q.x0) / cell) == F.col("cell_x")) & (F.floor(F.greatest(p.y0 - reach, q.y0) / cell) == F.col("cell_y"))
+    corner = (cell_of(F.greatest(p.x0 - reach, q.x0), cell) == F.col("cell_x")) & (cell_of(F.greatest(p.y0 - reach, q.y0), cell) == F.col("cell_y"))
     met = left.join(right, [*by, "cell_x", "cell_y"]).where(near & corner)
     return (met if on is None else met.where(on)).drop("cell_x", "cell_y")
 

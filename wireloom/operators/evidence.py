@@ -9,24 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Places to which fused scores are rounded before they are ranked, so that the order of sums can't matter.
-PLACES = 9
-
 
 def fused(evidence: DataFrame, weights: dict[str, float], by: list[str], default: float = 1.0) -> DataFrame:
     """Totals of weight x confidence x score: (by..., class, total, rank, margin).
 
     evidence: by..., source, source_ord, class_ord, class, score, confidence.  Sources without confidence abstain.
     Ties keep the class that comes first by source, then class order.  margin is the first's lead as a share of its
-    total, 1 if it is alone or 0.
+    total, 1 if it is alone or 0.  A class's votes, one a source at most, are added in the order of sources.
     """
     known = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))]) if weights else F.create_map().cast("map<string,double>")
     weight = F.coalesce(known[F.col("source")], F.lit(default))
     votes = evidence.where("confidence > 0 and class is not null")
-    sums = votes.groupBy(*by, "class").agg(
-        F.round(F.sum(weight * F.col("confidence") * F.col("score")), PLACES).alias("total"),
-        F.min(F.struct("source_ord", "class_ord")).alias("first"),
-    )
+    vote = F.struct("source_ord", "class_ord", (weight * F.col("confidence") * F.col("score")).cast("double").alias("v"))
+    sums = votes.groupBy(*by, "class").agg(F.sort_array(F.collect_list(vote)).alias("votes"))
+    sums = sums.select(*by, "class", F.aggregate("votes", F.lit(0.0), lambda a, x: a + x["v"]).alias("total"), F.struct(F.col("votes")[0]["source_ord"], F.col("votes")[0]["class_ord"]).alias("first"))
     line = Window.partitionBy(*by).orderBy(F.desc("total"), "first")
     following = F.coalesce(F.lead("total").over(line), F.lit(0.0))
     ranked = sums.withColumn("rank", F.row_number().over(line)).withColumn("margin", F.when(F.col("total") == 0, 1.0).otherwise((F.col("total") - following) / F.col("total")))
@@ -56,12 +52,18 @@ def routed(ranked: DataFrame, groups: list[tuple[str, list[str]]], by: list[str]
 
 
 def nearest(queries: DataFrame, library: DataFrame, most: int = 20, block: int = 4096) -> DataFrame:
-    """(query_id, vec_id, label, similarity, rank): exact nearest by cosine, without the query itself.
+    """(query_id, vec_id, label, similarity, rank): exact nearest by cosine, without the query itself; ties go to the smaller id.
 
     queries: query_id, v; library: vec_id, v, label.  Queries are taken in blocks of at most `block`, each sent to all
-    tasks; a task keeps `most` rows a query while it reads its part of the library.
+    tasks; a task keeps `most` rows a query while it reads its part of the library.  Vectors that are null, hold a null or
+    aren't as long as most of the library's take no part.
     """
     spark = queries.sparkSession
+    lengths = library.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("d > 0").orderBy(F.desc("n"), "d").first()
+    if lengths is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, label int, similarity double, rank int")
+    whole = (F.size("v") == lengths.d) & F.forall("v", lambda x: x.isNotNull())
+    queries, library = queries.where(whole), library.where(whole)
     parts = max(1, -(-queries.count() // block))
     found = None
     for k in range(parts):
@@ -74,22 +76,22 @@ def nearest(queries: DataFrame, library: DataFrame, most: int = 20, block: int =
 
         def make(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+            best = [np.full((len(ids), most), -np.inf), np.full((len(ids), most), np.iinfo(np.int64).max), np.zeros((len(ids), most), np.int64)]
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = unit(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1))
-                at, label = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                for i, one in enumerate(q):
-                    s = (v * one).sum(axis=1)
-                    s[at == ids[i]] = -np.inf
-                    s, a, b = (np.concatenate(x) for x in zip(best[i], (s, at, label)))
-                    order = np.lexsort((a, -s))[:most]
-                    order = order[np.isfinite(s[order])]
-                    best[i] = s[order], a[order], b[order]
-            n = [len(x[0]) for x in best]
-            columns = [np.concatenate([x[c] for x in best]) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[0])], names=["query_id", "vec_id", "label", "similarity"])
+                for at in range(0, batch.num_rows, step := max(1, (1 << 22) // len(ids))):
+                    part = batch.slice(at, step)
+                    v = unit(np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1))
+                    other, label = part.column(0).to_numpy(), part.column(2).to_numpy()
+                    s = q @ v.T
+                    s[other[None, :] == ids[:, None]] = -np.inf
+                    # what reaches a query's last kept row, ties included
+                    some = np.flatnonzero((s >= best[0][:, -1:] - 1e-9).any(axis=0))
+                    columns = [np.concatenate((b, x), axis=1) for b, x in zip(best, (s[:, some], np.tile(other[some], (len(ids), 1)), np.tile(label[some].astype(np.int64), (len(ids), 1))))]
+                    order = np.lexsort((columns[1], -np.round(columns[0], 9)), axis=1)[:, :most]
+                    best = [np.take_along_axis(c, order, 1) for c in columns]
+            good = np.isfinite(best[0])
+            n = good.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1][good]), pa.array(best[2][good].astype(np.int32)), pa.array(best[0][good])], names=["query_id", "vec_id", "label", "similarity"])
 
         part = library.select("vec_id", "v", "label").mapInArrow(make, "query_id long, vec_id long, label int, similarity double")
         found = part if found is None else found.union(part)

@@ -1,33 +1,45 @@
-"""Greedy one-to-one matching.
+"""Greedy one-to-one matching, and merging of boxes.
 
-Taking pairs in a total order, each if both sides are free, gives the same matches as rounds of
-accepting every pair that comes first for both of its sides.  So rounds run over all drawings at
-once; each shrinks the pairs, and its result is cut from its lineage.
+Pairs are sorted by drawing and order, and taken in one pass over the sorted partitions: a task remembers which sides
+of the drawing it is at are taken, and no more.  A drawing is one sheet, so its pairs come to one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.operators.lineage import kept
-
 
 def greedy(pairs: DataFrame, left: list[str], right: list[str], order: list) -> DataFrame:
-    """The accepted rows of pairs. left and right name the columns of the two sides; order is total (ascending columns)."""
-    rest = kept(pairs.withColumn("o", F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])))
-    won = None
-    while True:
-        best = [F.min("o").over(Window.partitionBy(*side)) for side in (left, right)]
-        ranked = rest.withColumn("l", best[0]).withColumn("r", best[1])
-        now = kept(ranked.where("o = l and o = r").select(pairs.columns))
-        won = now if won is None else won.union(now)
-        rest = kept(rest.join(now.select(left).distinct(), left, "left_anti").join(now.select(right).distinct(), right, "left_anti"))
-        if rest.isEmpty():
-            return won
+    """The accepted rows of pairs, in a total order (ascending columns) each whose both sides are still free.
+
+    left and right name the columns of the two sides; those in both (the drawing) part the pairs into groups.
+    """
+    by = [c for c in left if c in right]
+    sides = [[c for c in side if c not in by] for side in (left, right)]
+    marked = pairs.select("*", *[c.alias(f"_order{k}") for k, c in enumerate(order)])
+    keys, names = [f"_order{k}" for k in range(len(order))], pairs.columns
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken = None, (set(), set())
+        for batch in batches:
+            rows = [list(zip(*(batch.column(c).to_pylist() for c in columns))) if columns else [()] * batch.num_rows for columns in (by, *sides)]
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k, (group, a, b) in enumerate(zip(*rows)):
+                if group != at:
+                    at, taken = group, (set(), set())
+                if a not in taken[0] and b not in taken[1]:
+                    keep[k] = True
+                    taken[0].add(a)
+                    taken[1].add(b)
+            yield batch.select(names).filter(pa.array(keep))
+
+    dealt = marked.repartition(*by) if by else marked.coalesce(1)
+    return dealt.sortWithinPartitions(*by, *keys).mapInArrow(make, pairs.schema)
 
 
 def merge_boxes(boxes: list[dict], least: float) -> list[dict]:
@@ -37,22 +49,24 @@ def merge_boxes(boxes: list[dict], least: float) -> list[dict]:
     (missing ones lowest, ties keep the earlier) and its source, class and confidence of the one that
     has a class (both: the more confident), its kind, or 'ambiguous' if kinds differ, and a composite source
     if the two are exactly the synthetic and the real detector.
+
+    After a merge only pairs with the grown box can be new; so the first pair is one of an earlier box with it, else one of
+    it with a later box, and each merge looks at each box once.
     """
     boxes = [dict(b) for b in boxes]
-
-    def overlap(a: dict, b: dict) -> float:
-        w = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-        h = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-        smaller = min((p["x1"] - p["x0"]) * (p["y1"] - p["y0"]) for p in (a, b))
-        return w * h / smaller if w > 0 and h > 0 and smaller > 0 else 0.0
-
-    i = 0
-    while i < len(boxes):
-        j = next((j for j in range(i + 1, len(boxes)) if overlap(boxes[i], boxes[j]) >= least), None)
-        if j is None:
-            i += 1
-            continue
-        a, b = boxes[i], boxes.pop(j)
+    at = np.array([[b[c] for c in ("x0", "y0", "x1", "y1")] for b in boxes], dtype=float).reshape(-1, 4)
+    live = np.ones(len(boxes), dtype=bool)
+
+    def first(i: int, low: int, high: int) -> int | None:
+        """The first box from low to high that overlaps box i."""
+        part = at[low:high]
+        w, h = (np.minimum(part[:, k + 2], at[i, k + 2]) - np.maximum(part[:, k], at[i, k]) for k in (0, 1))
+        smaller = np.minimum((part[:, 2] - part[:, 0]) * (part[:, 3] - part[:, 1]), (at[i, 2] - at[i, 0]) * (at[i, 3] - at[i, 1]))
+        met = np.flatnonzero(live[low:high] & (w > 0) & (h > 0) & (smaller > 0) & (w * h / np.where(smaller > 0, smaller, 1) >= least))
+        return low + int(met[0]) if len(met) else None
+
+    def join(i: int, j: int) -> None:
+        a, b = boxes[i], boxes[j]
         sure = lambda p: -1.0 if p["confidence"] is None else p["confidence"]
         better = a if sure(a) >= sure(b) else b
         named = next((p for p in (better, a, b) if p["class"] is not None), better)
@@ -65,9 +79,19 @@ def merge_boxes(boxes: list[dict], least: float) -> list[dict]:
             "confidence": named["confidence"],
             "source": "synthetic_yolo+real_detector" if sources == {"synthetic_yolo", "real_detector"} else better["source"],
         }
-        # the grown box may now reach an earlier one
-        i = 0
-    return boxes
+        at[i] = [boxes[i][c] for c in ("x0", "y0", "x1", "y1")]
+        live[j] = False
+
+    i = 0
+    while i < len(boxes):
+        if not live[i] or (j := first(i, i + 1, len(boxes))) is None:
+            i += 1
+            continue
+        join(i, j)
+        while (k := first(i, 0, i)) is not None:
+            join(k, i)
+            i = k
+    return [b for b, there in zip(boxes, live) if there]
 
 
 def merged(boxes: DataFrame, least: float = 0.5) -> DataFrame:

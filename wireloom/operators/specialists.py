@@ -15,7 +15,7 @@ from wireloom.operators import raster
 
 #: Pixels in a row that a plate has at least.
 PLATE = 14
-FACTS = "plates int, curved boolean, plus boolean"
+FACTS = "plates int, curved boolean, plus boolean, circle boolean, rectangle boolean"
 
 
 def plates(mask: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
@@ -61,6 +61,31 @@ def facts(picture: np.ndarray | None) -> dict | None:
     return {"plates": len(found), "curved": any(p[4] for p in found[:2]), "plus": plus(mask)}
 
 
+def shapes(picture: np.ndarray | None) -> dict | None:
+    """Whether a gray crop holds a circle or an upright rectangle; null for crops under 12 pixels."""
+    if picture is None or min(picture.shape) < 12:
+        return None
+    mask = picture <= raster.otsu(picture)
+    return {"circle": raster.circle(mask) is not None, "rectangle": raster.rectangular(mask)}
+
+
+def transistor(picture: np.ndarray | None) -> tuple[str, float] | None:
+    """Class and confidence of a transistor's kind: its arrowhead's tip points away from its circle's middle, or toward it.
+
+    No group is routed here: on drawings as scanned the arrowhead is too coarse to be told well.
+    """
+    if picture is None or min(picture.shape) < 12:
+        return None
+    mask = picture <= raster.otsu(picture)
+    ring = raster.circle(mask)
+    if ring is None or (head := raster.arrowhead(mask, ring)) is None:
+        return None
+    middle, centre = head.mean(axis=0), np.array(ring[:2], float)
+    tip = head[np.argmax(((head - middle) ** 2).sum(axis=1))]
+    away = ((tip - centre) ** 2).sum() > ((middle - centre) ** 2).sum()
+    return ("BJT_NPN" if away else "BJT_PNP"), 0.6
+
+
 def battery_or_capacitor(n: Column, curved: Column, has_plus: Column) -> Column:
     """struct(class, confidence) by plates, bow and plus mark; null for fewer than two plates."""
     say = lambda c, p: F.struct(F.lit(c).alias("class"), F.lit(p).alias("confidence"))
@@ -75,9 +100,38 @@ def transistor_or_potentiometer(circle: Column, rectangle: Column) -> Column:
 
 def shape_facts(crops: DataFrame) -> DataFrame:
     """Adds the facts to crops (height, width, data: one gray byte a pixel); a column per fact, null where there are none."""
+    names = [x.split()[0] for x in FACTS.split(", ")]
+
     @F.pandas_udf(FACTS)
     def read(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows = [facts(np.frombuffer(d, np.uint8).reshape(a, b)) if d is not None else None for a, b, d in zip(h, w, data)]
-        return pd.DataFrame([r or {"plates": None, "curved": None, "plus": None} for r in rows], columns=["plates", "curved", "plus"]).astype({"plates": "Int32", "curved": "boolean", "plus": "boolean"})
+        crops = [np.frombuffer(d, np.uint8).reshape(a, b) if d is not None else None for a, b, d in zip(h, w, data)]
+        rows = [dict.fromkeys(names) | (facts(c) or {}) | (shapes(c) or {}) for c in crops]
+        return pd.DataFrame(rows, columns=names).astype({n: "Int32" if n == "plates" else "boolean" for n in names})
 
     return crops.withColumn("f", read("height", "width", "data")).select("*", "f.*").drop("f")
+
+
+def single(said: Column) -> Column:
+    """struct(class, confidence) as an array of struct(class, score, confidence); null stays null."""
+    return F.when(said.isNotNull(), F.array(F.struct(said["class"].alias("class"), F.lit(1.0).alias("score"), said["confidence"].cast("double").alias("confidence"))))
+
+
+#: What a named specialist says, as expressions over the facts.
+SAYS = {
+    "battery_capacitor": lambda: single(battery_or_capacitor(F.col("plates"), F.col("curved"), F.col("plus"))),
+    "bjt_potentiometer": lambda: transistor_or_potentiometer(F.col("circle"), F.col("rectangle")),
+}
+
+
+def opinions(crops: DataFrame, routes: DataFrame, by: list[str], source_ord: int = 4, says: dict | None = None) -> DataFrame:
+    """Evidence (by..., source, source_ord, class_ord, class, score, confidence) of the specialists that candidates are routed to.
+
+    crops: by..., height, width, data; routes: by..., route, a specialist's name.  Others, and specialists that
+    say nothing, give no rows.  says: further specialists by name, each a function to such an array.
+    """
+    read = shape_facts(crops.join(routes, by))
+    said = F.lit(None).cast("array<struct<class:string,score:double,confidence:double>>")
+    for name, rule in (SAYS | (says or {})).items():
+        said = F.when(F.col("route") == name, rule()).otherwise(said)
+    each = read.select(*by, F.concat(F.lit("geometry:"), "route").alias("source"), F.posexplode(said).alias("class_ord", "e"))
+    return each.select(*by, "source", F.lit(source_ord).alias("source_ord"), "class_ord", "e.class", "e.score", "e.confidence")

@@ -102,10 +102,16 @@ def wire_points(lines: DataFrame) -> DataFrame:
 
 
 def crossings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pixels and dots of a drawing per customer: two crossing strokes, dotted or not, or a stroke that ends on another."""
-    kind = F.expr("cast(c_nationkey % 3 as int)")
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("drawing_id"), kind.alias("kind"))
-    along = c.select("drawing_id", "kind", F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("k"))
-    level = along.select("drawing_id", F.lit(20).alias("y"), (F.col("k") + 20).alias("x"))
-    upright = along.where("kind < 2 or k >= 0").select("drawing_id", (F.col("k") + 20).alias("y"), F.lit(20).alias("x"))
-    return level.union(upright).distinct(), c.where("kind = 1").select("drawing_id", F.lit(21).alias("y"), F.lit(19).alias("x"))
+    """Pixels and dots of a drawing per customer: level strokes across an upright one, which may be dotted, end on it or miss it.
+
+    How many there are, how long they are, where the upright one begins, and whether specks lie above and below follow from the customer's numbers.
+    """
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS drawing_id", "cast(c_custkey % 3 as int) + 1 AS n", "cast(c_custkey % 5 as int) + 3 AS arm", "cast(c_nationkey % 4 as int) AS kind", "c_custkey % 7 AS speck")
+    level = c.select("*", F.explode(F.expr("sequence(1, n)")).alias("j"), F.explode(F.expr("sequence(-arm, arm)")).alias("k"))
+    level = level.where("kind < 3 or k >= j - 2").selectExpr("drawing_id", "20 * j AS y", "20 + k AS x")
+    upright = c.select("*", F.explode(F.expr("sequence(case when kind = 2 then 20 else 12 end, 20 * n + arm)")).alias("y")).selectExpr("drawing_id", "y", "20 AS x")
+    specks = c.where("speck < 2").selectExpr("drawing_id", "explode(case speck when 0 then array(2, 20 * n + 30) else array(4) end) AS y", "3 AS x")
+    blot = c.where("speck = 3").select("drawing_id", F.explode(F.array(F.lit(3), F.lit(4))).alias("y")).select("drawing_id", "y", F.explode(F.array(F.lit(8), F.lit(9))).alias("x"))
+    whole = level.union(upright).union(specks).union(blot).select("drawing_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
+    dots = c.where("kind = 1").select("drawing_id", "n", F.explode(F.expr("sequence(1, n)")).alias("j")).where("(drawing_id + j) % 2 = 0")
+    return whole, dots.selectExpr("drawing_id", "cast(20 * j + 1 as int) AS y", "19 AS x")

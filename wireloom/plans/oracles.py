@@ -60,7 +60,7 @@ hints AS (SELECT drawing_id, idx, CASE WHEN l_suppkey % 4 = 0 THEN 't' || CAST(l
   ELSE '= ae ' || lower({_CASES(_LABELS, 'l_suppkey % 8')}) || '-' || CAST(l_partkey % 9 AS VARCHAR) || ' 10K ?' END AS text FROM src)"""
 _NORMAL = "replace(regexp_replace(upper(text), '[\\s\\-_.]+', '', 'g'), '$', 'S')"
 _ELECTRONIC = domains.load("electronic")
-_PREFIXES = "prefixes(prefix, class, score) AS (VALUES " + ", ".join(f"('{p}', '{c}', {1 / len(cs)})" for p, cs in _ELECTRONIC.prefixes.items() for c in cs) + ")"
+_PREFIXES = "prefixes(prefix, class, score) AS (VALUES " + ", ".join(f"('{p}', '{c}', {w})" for p, cs in _ELECTRONIC.prefixes.items() for c, w in cs.items()) + ")"
 _FAMILY = "CASE " + " ".join(f"WHEN regexp_matches({_NORMAL}, '(?i){p}') THEN '{c}'" for p, c in _ELECTRONIC.families) + " END"
 _MEMBERS = _SRC + ",\nmembers AS (SELECT drawing_id, CAST(l_suppkey % 3 AS INTEGER) AS net_ord, idx FROM src)"
 _CONNECTED = _MEMBERS + """,
@@ -71,11 +71,11 @@ s AS (SELECT q.vec_id AS query_id, l.vec_id, l.label, list_cosine_similarity(q.v
 near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 20)"""
 _EVIDENCE = _SRC + """,
 votes AS (
-  SELECT drawing_id, idx, 0 AS so, 0 AS co, l_returnflag AS class, 1.2 * round(l_discount * 10, 3) AS v, round(l_discount * 10, 3) AS confidence FROM src
-  UNION ALL SELECT drawing_id, idx, 1, 0, l_linestatus, 0.9 * ((l_partkey % 10) / 10.0), 0.9 FROM src
-  UNION ALL SELECT drawing_id, idx, 1, 1, l_returnflag, 0.9 * ((l_suppkey % 10) / 10.0), 0.9 FROM src
+  SELECT drawing_id, idx, 0 AS so, 0 AS co, l_returnflag AS class, CAST(1.2 AS DOUBLE) * round(l_discount * 10, 3) AS v, round(l_discount * 10, 3) AS confidence FROM src
+  UNION ALL SELECT drawing_id, idx, 1, 0, l_linestatus, CAST(0.9 AS DOUBLE) * (CAST(l_partkey % 10 AS DOUBLE) / 10), 0.9 FROM src
+  UNION ALL SELECT drawing_id, idx, 1, 1, l_returnflag, CAST(0.9 AS DOUBLE) * (CAST(l_suppkey % 10 AS DOUBLE) / 10), 0.9 FROM src
   UNION ALL SELECT drawing_id, idx, 2, 0, CASE l_partkey % 3 WHEN 0 THEN 'N' ELSE 'Z' END, CAST(0.55 AS DOUBLE), 0.55 FROM src WHERE l_partkey % 3 < 2),
-totals AS (SELECT drawing_id, idx, class, round(sum(CAST(v AS DOUBLE)), 9) AS total, min(so * 10 + co) AS first FROM votes WHERE confidence > 0 GROUP BY 1, 2, 3),
+totals AS (SELECT drawing_id, idx, class, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST(v AS DOUBLE) ORDER BY so, co)), lambda a, b: a + b) AS total, min(so * 10 + co) AS first FROM votes WHERE confidence > 0 GROUP BY 1, 2, 3),
 fused AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(total) OVER w, 0) AS following FROM totals WINDOW w AS (PARTITION BY drawing_id, idx ORDER BY total DESC, first))"""
 _SNAP = _MEMBERS + "," + _GOLD.split(",\n", 1)[1] + """,
 ends AS (
@@ -86,8 +86,38 @@ away AS (SELECT e.*, net_ord, sqrt(CAST((px - x) * (px - x) + (py - y) * (py - y
 turned AS (SELECT *, ((direction - toward) % 360 + 360) % 360 AS turn FROM away WHERE distance < CASE WHEN direction IS NULL THEN 13 ELSE 26 END),
 snapped AS (SELECT drawing_id, symbol_id, idx, min({'distance': distance, 'net_ord': net_ord}) AS best FROM turned
   WHERE direction IS NULL OR distance = 0 OR least(turn, 360 - turn) <= 35 GROUP BY 1, 2, 3)"""
-_PIXELS = """pixels AS (SELECT DISTINCT c_custkey AS drawing_id, CAST(20 AS INTEGER) AS y, CAST(20 + k AS INTEGER) AS x FROM customer, range(-6, 7) r(k)
-  UNION SELECT c_custkey, CAST(20 + k AS INTEGER), 20 FROM customer, range(-6, 7) r(k) WHERE c_nationkey % 3 < 2 OR k >= 0)"""
+_PIXELS = """c AS (SELECT c_custkey AS drawing_id, c_custkey % 3 + 1 AS n, c_custkey % 5 + 3 AS arm, c_nationkey % 4 AS kind, c_custkey % 7 AS speck FROM customer),
+j AS (SELECT *, unnest(range(1, n + 1)) AS j FROM c),
+pixels AS (
+  SELECT drawing_id, CAST(20 * j AS INTEGER) AS y, CAST(20 + k AS INTEGER) AS x FROM (SELECT *, unnest(range(-arm, arm + 1)) AS k FROM j) WHERE kind < 3 OR k >= j - 2
+  UNION SELECT drawing_id, CAST(unnest(range(CASE WHEN kind = 2 THEN 20 ELSE 12 END, 20 * n + arm + 1)) AS INTEGER), 20 FROM c
+  UNION SELECT drawing_id, CAST(2 AS INTEGER), 3 FROM c WHERE speck = 0 UNION SELECT drawing_id, CAST(20 * n + 30 AS INTEGER), 3 FROM c WHERE speck = 0 UNION SELECT drawing_id, 4, 3 FROM c WHERE speck = 1
+  UNION SELECT drawing_id, y, x FROM c, (VALUES (3, 8), (3, 9), (4, 8), (4, 9)) v(y, x) WHERE speck = 3),
+dots AS (SELECT drawing_id, 20 * j + 1 AS y, 19 AS x FROM j WHERE kind = 1 AND (drawing_id + j) % 2 = 0)"""
+_REWIRED = _PIXELS + """,
+near AS (SELECT a.drawing_id, a.y, a.x, b.y AS ny, b.x AS nx FROM pixels a JOIN pixels b ON a.drawing_id = b.drawing_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x)),
+branch AS (SELECT drawing_id, y, x FROM near GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+met AS (SELECT n.*, p.y IS NOT NULL AS p, q.y IS NOT NULL AS q FROM near n LEFT JOIN branch p USING (drawing_id, y, x) LEFT JOIN branch q ON q.drawing_id = n.drawing_id AND q.y = n.ny AND q.x = n.nx),
+reach AS (SELECT drawing_id, y, x, y AS ry, x AS rx FROM branch UNION SELECT r.drawing_id, m.ny, m.nx, r.ry, r.rx FROM reach r JOIN met m ON m.drawing_id = r.drawing_id AND m.y = r.y AND m.x = r.x AND m.p AND m.q),
+region AS (SELECT drawing_id, y, x, min({'y': ry, 'x': rx}) AS r FROM reach GROUP BY 1, 2, 3),
+centre AS (SELECT drawing_id, r, CAST(trunc(avg(y)) AS INTEGER) AS cy, CAST(trunc(avg(x)) AS INTEGER) AS cx FROM region GROUP BY 1, 2),
+arms AS (SELECT m.drawing_id, r, ny, nx, row_number() OVER (PARTITION BY m.drawing_id, r ORDER BY atan2(m.ny - m.y, m.nx - m.x), m.y, m.x, ny, nx) AS k, count(*) OVER (PARTITION BY m.drawing_id, r) AS n,
+  row_number() OVER (PARTITION BY m.drawing_id, r ORDER BY m.y, m.x, ny, nx) AS o, atan2(m.ny - m.y, m.nx - m.x) AS angle FROM met m JOIN region USING (drawing_id, y, x) WHERE p AND NOT q),
+solved AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(n, 0) < 4 OR EXISTS (SELECT 1 FROM dots d WHERE d.drawing_id = c.drawing_id AND abs(d.y - cy) <= 4 AND abs(d.x - cx) <= 4) AS star
+  FROM centre c LEFT JOIN (SELECT DISTINCT drawing_id, r, n FROM arms) a USING (drawing_id, r)),
+opposite AS (SELECT a.drawing_id, a.r, b.k FROM arms a JOIN arms b USING (drawing_id, r) WHERE a.k = 1 AND b.k > 1
+  QUALIFY row_number() OVER (PARTITION BY a.drawing_id, a.r ORDER BY least(abs(a.angle - b.angle), 2 * pi() - abs(a.angle - b.angle)) DESC, b.o) = 1),
+paired AS (SELECT a.drawing_id, a.r, ny, nx, a.k = 1 OR a.k = o.k AS one FROM arms a JOIN solved s USING (drawing_id, r) JOIN opposite o USING (drawing_id, r) WHERE NOT star AND s.n = 4),
+edges AS (
+  SELECT drawing_id, {'kind': 0, 'y': y, 'x': x} AS a, {'kind': 0, 'y': ny, 'x': nx} AS b FROM met WHERE NOT p AND NOT q
+  UNION ALL SELECT drawing_id, {'kind': 1, 'y': cy, 'x': cx}, {'kind': 0, 'y': ny, 'x': nx} FROM solved JOIN arms USING (drawing_id, r) WHERE star
+  UNION ALL SELECT u.drawing_id, {'kind': 0, 'y': u.ny, 'x': u.nx}, {'kind': 0, 'y': v.ny, 'x': v.nx} FROM paired u JOIN paired v USING (drawing_id, r) WHERE u.one = v.one AND (u.ny <> v.ny OR u.nx <> v.nx)),
+nodes AS (SELECT drawing_id, {'kind': 0, 'y': y, 'x': x} AS v FROM pixels ANTI JOIN branch USING (drawing_id, y, x) UNION SELECT drawing_id, {'kind': 1, 'y': cy, 'x': cx} FROM solved WHERE star),
+ways AS (SELECT drawing_id, a, b FROM edges UNION SELECT drawing_id, b, a FROM edges),
+wide AS (SELECT drawing_id, v, v AS r FROM nodes UNION SELECT w.drawing_id, e.b, w.r FROM wide w JOIN ways e ON e.drawing_id = w.drawing_id AND e.a = w.v),
+net AS (SELECT drawing_id, v, min(r) AS r FROM wide GROUP BY 1, 2),
+numbered AS (SELECT drawing_id, v, dense_rank() OVER (PARTITION BY drawing_id ORDER BY r) - 1 AS net_ord FROM net)"""
+_MERGE_STEP = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.5 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)"
 _HOURS = "hours AS (SELECT DISTINCT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour FROM events)"
 _RUNS = _HOURS + """,
 runs AS (SELECT user_id, min(hour) AS start, max(hour) AS stop, count(*) AS length FROM (SELECT *, hour - row_number() OVER (PARTITION BY user_id ORDER BY hour) AS island FROM hours) GROUP BY user_id, island)"""
@@ -106,6 +136,13 @@ def _router(name: str) -> str:
     return f"CAST({count('^(' + '|'.join(pack.prefixes) + ')[0-9]')} + {count('(' + '|'.join(pack.keywords) + ')')} AS INTEGER)"
 
 
+_PRIMITIVES = _SRC + """,
+prim AS (SELECT drawing_id AS symbol, idx, l_partkey % 4 AS kind, CAST(l_partkey % 13 AS DOUBLE) AS ax, CAST(l_suppkey % 11 AS DOUBLE) AS ay, CAST(l_partkey % 7 - 9 AS DOUBLE) AS bx, CAST(l_suppkey % 5 - 4 AS DOUBLE) AS uy,
+  CAST(l_suppkey % 4 + 0.5 AS DOUBLE) AS radius, [1, 0, -1, 0][l_suppkey % 4 + 1] AS cosine, [0, 1, 0, -1][l_suppkey % 4 + 1] AS sine, CAST(l_linenumber * 1.27 AS DOUBLE) AS length FROM src),
+reached AS (SELECT symbol, ax AS x, ay AS y FROM prim WHERE kind <> 1 UNION ALL SELECT symbol, bx, uy FROM prim WHERE kind IN (0, 2) UNION ALL SELECT symbol, ax - radius, ay - radius FROM prim WHERE kind = 1
+  UNION ALL SELECT symbol, ax + radius, ay + radius FROM prim WHERE kind = 1 UNION ALL SELECT symbol, ax + cosine * length, ay + sine * length FROM prim WHERE kind = 3)"""
+_PAGE = "page AS (SELECT c_custkey AS d, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, (x * x + 3 * y * (c_custkey % 7 + 1) + (x // 6) * (y // 5) * 29 + c_custkey * 11) % 256 AS v FROM customer, range(0, 20) r(y), range(0, 24) s(x))"
+
 SQL: dict[str, str] = {
     "iou_theta_join": f"WITH {_PAIRS} SELECT drawing_id, gi, pi, iou FROM pairs",
     "eval_detection": f"{_DETECTION} SELECT scope, tp, fp, fn, correct, {_rates('tp', 'fp', 'fn')}, CAST(CASE WHEN tp > 0 THEN correct / tp ELSE 0 END AS DOUBLE) AS accuracy FROM sums",
@@ -167,9 +204,31 @@ UNION ALL SELECT drawing_id, 'unattached', symbol_id, idx FROM t WHERE net_id IS
 UNION ALL SELECT drawing_id, 'low_confidence', {_ID('idx')}, NULL FROM src WHERE l_discount * 10 < 0.5
 UNION ALL SELECT n.drawing_id, 'single_terminal', n.net_id, NULL FROM n LEFT JOIN t ON n.drawing_id = t.drawing_id AND n.net_id = t.net_id GROUP BY 1, 3 HAVING count(t.net_id) < 2""",
     "net_connections": f"WITH {_CONNECTED} SELECT drawing_id, {_ID('idx')} AS symbol_id, string_agg({_ID('other')}, ',' ORDER BY net_ord, {_ID('other')}) AS connections FROM firsts GROUP BY drawing_id, idx",
-    "connected_components": "SELECT o_orderkey AS node, m AS root FROM (SELECT o_orderkey, min(o_orderkey) OVER w AS m, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey)) WHERE n > 1",
-    "crossing_rewire": """SELECT c_custkey AS drawing_id, CAST(k AS INTEGER) AS net_ord, CASE c_nationkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 21 ELSE 16 END AS nodes, CASE c_nationkey % 3 WHEN 0 THEN 0 ELSE 1 END AS junctions
-FROM customer, range(0, 2) r(k) WHERE k = 0 OR c_nationkey % 3 = 0""",
+    "connected_components": """WITH RECURSIVE ends AS (SELECT o_custkey AS c, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL
+  UNION ALL SELECT x.a, y.b FROM ends x JOIN ends y ON x.c = y.c + 3 WHERE x.c % 16 < 11),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+wide AS (SELECT a AS node, a AS r FROM ways UNION SELECT b, r FROM wide JOIN ways ON a = node)
+SELECT node, min(r) AS root FROM wide GROUP BY 1""",
+    "crossing_rewire": f"""WITH RECURSIVE {_REWIRED}
+SELECT drawing_id, CAST(net_ord AS INTEGER) AS net_ord, count(*) AS nodes, CAST(sum(v.kind) AS BIGINT) AS junctions FROM numbered GROUP BY 1, 2 HAVING count(*) > 1""",
+    "box_merge_fixpoint": f"""WITH RECURSIVE {_GOLD},
+rows AS (SELECT s.drawing_id, s.idx, x0, y0, x1, y1, CASE WHEN l_partkey % 4 = 0 THEN 'ambiguous' ELSE 'symbol' END AS kind, CASE WHEN l_suppkey % 3 > 0 THEN l_returnflag END AS class,
+  CASE WHEN l_suppkey % 5 > 0 THEN l_discount * 10 END AS confidence, CASE WHEN l_linenumber % 2 = 0 THEN 'synthetic_yolo' ELSE 'real_detector' END AS source FROM src s JOIN gold g ON g.drawing_id = s.drawing_id AND g.idx = s.idx),
+steps AS (
+  SELECT drawing_id, 0 AS step, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'kind': kind, 'class': class, 'confidence': confidence, 'source': source}} ORDER BY idx) AS boxes FROM rows GROUP BY 1
+  UNION ALL
+  SELECT drawing_id, step + 1, list_concat(list_concat(boxes[1:i - 1], [{{'x0': least(a.x0, b.x0), 'y0': least(a.y0, b.y0), 'x1': greatest(a.x1, b.x1), 'y1': greatest(a.y1, b.y1),
+      'kind': CASE WHEN a.kind = b.kind THEN a.kind ELSE 'ambiguous' END, 'class': named.class, 'confidence': named.confidence,
+      'source': CASE WHEN list_sort([a.source, b.source]) = ['real_detector', 'synthetic_yolo'] THEN 'synthetic_yolo+real_detector' ELSE better.source END}}]), list_concat(boxes[i + 1:j - 1], boxes[j + 1:]))
+  FROM (SELECT *, CASE WHEN better.class IS NOT NULL THEN better WHEN a.class IS NOT NULL THEN a WHEN b.class IS NOT NULL THEN b ELSE better END AS named
+    FROM (SELECT *, CASE WHEN coalesce(a.confidence, -1) >= coalesce(b.confidence, -1) THEN a ELSE b END AS better
+      FROM (SELECT drawing_id, step, boxes, p.i AS i, p.j AS j, boxes[p.i] AS a, boxes[p.j] AS b
+        FROM (SELECT s.drawing_id, s.step, any_value(s.boxes) AS boxes, min({{'i': i, 'j': j}}) AS p FROM steps s, unnest(range(1, len(s.boxes) + 1)) u(i), unnest(range(1, len(s.boxes) + 1)) v(j)
+          WHERE i < j AND j <= len(boxes) AND {_MERGE_STEP.replace("a.", "boxes[i].").replace("b.", "boxes[j].")} GROUP BY 1, 2))))),
+last AS (SELECT drawing_id, boxes FROM steps QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY step DESC) = 1)
+SELECT drawing_id, CAST(k - 1 AS INTEGER) AS idx, boxes[k].x0 AS x0, boxes[k].y0 AS y0, boxes[k].x1 AS x1, boxes[k].y1 AS y1, boxes[k].kind AS kind, boxes[k].class AS class, boxes[k].confidence AS confidence, boxes[k].source AS source
+FROM (SELECT drawing_id, boxes, unnest(range(1, len(boxes) + 1)) AS k FROM last)""",
     "degree_neighbors": f"WITH {_PIXELS} SELECT a.drawing_id, a.y, a.x, count(*) - 1 AS degree FROM pixels a JOIN pixels b ON a.drawing_id = b.drawing_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3",
     "runs_islands": f"WITH {_RUNS} SELECT user_id, start, stop, length FROM runs WHERE length >= 2",
     "longest_run": f"WITH {_RUNS} SELECT user_id, start, stop, length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS k FROM runs) WHERE k = 1",
@@ -202,4 +261,71 @@ FROM u WHERE text <> '' AND confidence >= 0""",
 c AS (SELECT drawing_id, idx, greatest(CAST(trunc(x - w / 2) AS INTEGER), 0) AS x0, greatest(CAST(trunc(y - h / 2) AS INTEGER), 0) AS y0, least(CAST(trunc(x + w / 2) AS INTEGER), 100) AS x1, least(CAST(trunc(y + h / 2) AS INTEGER), 80) AS y1 FROM r)
 SELECT * FROM c WHERE x1 > x0 AND y1 > y0""",
     "response_keys": "SELECT substr(sha1(text || '|model|conf=0.35'), 1, 16) AS key, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",
+    "unmatched_symbols": f"""WITH {_MATCH}
+SELECT drawing_id, 'golden' AS side, idx, type FROM gold g WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.drawing_id = g.drawing_id AND w.gi = g.idx)
+UNION ALL SELECT drawing_id, 'predicted', idx, type FROM pred p WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.drawing_id = p.drawing_id AND w.pi = p.idx)""",
+    "specialist_rules": f"""WITH {_SRC}, f AS (SELECT *, CASE WHEN l_partkey % 9 > 0 THEN l_partkey % 6 END AS n FROM src)
+SELECT drawing_id, idx, 'battery_capacitor' AS name, CASE WHEN n >= 4 THEN 'Battery' WHEN l_suppkey % 3 = 0 THEN 'Capacitor_Polarized' WHEN l_linenumber % 2 = 0 THEN 'Battery' ELSE 'Capacitor' END AS class, CAST(1 AS DOUBLE) AS score,
+  CAST(CASE WHEN n >= 4 THEN 0.85 WHEN l_suppkey % 3 = 0 THEN 0.7 WHEN l_linenumber % 2 = 0 THEN 0.55 ELSE 0.6 END AS DOUBLE) AS confidence FROM f WHERE n >= 2
+UNION ALL SELECT drawing_id, idx, 'bjt_potentiometer', unnest(CASE WHEN l_suppkey % 4 = 0 THEN ['BJT_NPN', 'BJT_PNP'] ELSE ['Potentiometer'] END), CAST(CASE WHEN l_suppkey % 4 = 0 THEN 0.5 ELSE 1 END AS DOUBLE),
+  CAST(CASE WHEN l_suppkey % 4 = 0 THEN 0.75 ELSE 0.6 END AS DOUBLE) FROM src WHERE l_suppkey % 4 = 0 OR l_partkey % 2 = 0""",
+    "arc_circles": f"""WITH {_GOLD}, p AS (SELECT drawing_id, idx, CAST(x0 AS DOUBLE) AS ax, CAST(y0 AS DOUBLE) AS ay, CAST(x1 AS DOUBLE) AS bx, CAST(y1 AS DOUBLE) AS uy, CAST(x1 AS DOUBLE) AS cx, CAST(y0 + idx % 3 AS DOUBLE) AS cy FROM gold),
+m AS (SELECT *, (uy + cy) / 2 AS y FROM p), n AS (SELECT *, ((bx * bx - ax * ax) + (uy - y) * (uy - y) - (ay - y) * (ay - y)) / (2 * (bx - ax)) AS x FROM m)
+SELECT drawing_id, idx, round(x, 6) AS x, round(y, 6) AS y, round(sqrt((bx - x) * (bx - x) + (uy - y) * (uy - y)), 6) AS radius FROM n""",
+    "symbol_bounds": f"""WITH {_PRIMITIVES} SELECT symbol, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1 FROM reached GROUP BY 1""",
+    "symbol_terminals": f"""WITH {_PRIMITIVES}, b AS (SELECT symbol, min(x) AS x0, max(y) AS y1 FROM reached GROUP BY 1)
+SELECT symbol, idx AS ord, CAST(idx AS VARCHAR) AS number, CAST(trunc((ax - x0) * 20 + 12) AS INTEGER) AS x, CAST(trunc((y1 - ay) * 20 + 12) AS INTEGER) AS y FROM prim JOIN b USING (symbol) WHERE kind = 3""",
+    "library_templates": """WITH p AS (SELECT p_partkey AS name, 20 + p_size AS w, 30 + p_partkey % 17 AS h FROM part),
+e AS (SELECT name, w, h, 0 AS idx, 'A' AS terminal, 0 AS x, h // 2 AS y, 5 AS u, h // 2 AS v FROM p UNION ALL SELECT name, w, h, 1, 'B', w - 1, name % 20, w - 6, 3 FROM p),
+f AS (SELECT name, w, h, idx, terminal, m AS mirrored, CASE WHEN m THEN w - 1 - x ELSE x END AS x, y, CASE WHEN m THEN w - 1 - u ELSE u END AS u, v FROM e, (VALUES (TRUE), (FALSE)) t(m)),
+r AS (SELECT name, 0 AS turn, mirrored, idx, terminal, x / w AS tx, y / h AS ty, u / w AS bx, v / h AS "by" FROM f
+  UNION ALL SELECT name, 90, mirrored, idx, terminal, (h - 1 - y) / h, x / w, (h - 1 - v) / h, u / w FROM f
+  UNION ALL SELECT name, 180, mirrored, idx, terminal, (w - 1 - x) / w, (h - 1 - y) / h, (w - 1 - u) / w, (h - 1 - v) / h FROM f
+  UNION ALL SELECT name, 270, mirrored, idx, terminal, y / h, (w - 1 - x) / w, v / h, (w - 1 - u) / w FROM f)
+SELECT name, turn, mirrored, idx, terminal, round(tx, 9) AS tx, round(ty, 9) AS ty, round(bx, 9) AS bx, round("by", 9) AS "by" FROM r""",
+    "probe_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+z AS (SELECT vec_id, k, list_dot_product(v, list_transform(range(0, 64), lambda j: CAST((k + 1) * (j + 3) % 11 - 5 AS DOUBLE))) + CAST(k + 1 AS DOUBLE) / 10 AS z FROM e, range(0, 4) r(k)),
+p AS (SELECT vec_id, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x, z FROM z)
+SELECT vec_id AS query_id, CAST(n AS INTEGER) AS rank, class, probability FROM (
+  SELECT vec_id, substr('abcd', CAST(k + 1 AS INTEGER), 1) AS class, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS probability, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, k) AS n FROM p) WHERE n <= 3""",
+    "template_choice": f"""WITH {_SRC}, n AS (SELECT drawing_id, idx, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag ELSE 'X' END AS class, CAST(l_suppkey % 16 AS INTEGER) AS entry FROM src WHERE l_partkey % 3 = 0)
+SELECT s.drawing_id, s.idx, l_returnflag AS class, coalesce(n.entry, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 8 END) AS entry
+FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AS o FROM src) s LEFT JOIN n ON n.drawing_id = s.drawing_id AND n.idx = s.idx AND n.class = l_returnflag""",
+    "node_link_json": f"""WITH {_MEMBERS}, nodes AS (SELECT drawing_id, {_ID('idx')} AS id, 'symbol' AS kind, l_returnflag AS label FROM src UNION SELECT drawing_id, printf('N%03d', net_ord), 'net', '' FROM members),
+n AS (SELECT drawing_id, string_agg('{{"id":"' || id || '","kind":"' || kind || '","label":"' || label || '"}}', ',' ORDER BY id) AS n FROM nodes GROUP BY 1),
+l AS (SELECT drawing_id, string_agg('{{"source":"' || {_ID('idx')} || '","target":"' || printf('N%03d', net_ord) || '"}}', ',' ORDER BY idx) AS l FROM members GROUP BY 1)
+SELECT drawing_id, '{{"directed":false,"nodes":[' || n || '],"links":[' || l || ']}}' AS json FROM n JOIN l USING (drawing_id)""",
+    "type_palette": f"""WITH {_SRC}, t AS (SELECT drawing_id, idx, CASE WHEN l_partkey % 10 = 0 THEN 'Unknown' ELSE l_returnflag || l_linestatus || l_linenumber END AS type FROM src),
+d AS (SELECT drawing_id, type, row_number() OVER (PARTITION BY drawing_id ORDER BY type) - 1 AS k FROM (SELECT DISTINCT drawing_id, type FROM t))
+SELECT t.drawing_id, idx, type, CASE WHEN type = 'Unknown' THEN '#ff0000' ELSE ['#5b9dff', '#9fd88a', '#f2b366', '#d78bf0', '#7ec1ff', '#ff8c5a', '#78c8a0', '#f08282'][k % 8 + 1] END AS colour FROM t JOIN d USING (drawing_id, type)""",
+    "component_sizes": f"""WITH RECURSIVE {_SRC}, e AS (SELECT s.drawing_id, s.idx AS a, t.idx AS b FROM src s JOIN src t ON t.drawing_id = s.drawing_id AND t.idx = s.l_suppkey % 7 WHERE s.l_partkey % 3 > 0),
+ways AS (SELECT * FROM e UNION SELECT drawing_id, b, a FROM e), wide AS (SELECT drawing_id, idx AS id, idx AS r FROM src UNION SELECT w.drawing_id, b, r FROM wide w JOIN ways e ON e.drawing_id = w.drawing_id AND e.a = w.id),
+c AS (SELECT drawing_id, id, min(r) AS r FROM wide GROUP BY 1, 2), n AS (SELECT drawing_id, r, count(*) AS size FROM c GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY size DESC, r) - 1 AS INTEGER) AS part FROM n) SELECT c.drawing_id, id, part, size FROM c JOIN o USING (drawing_id, r)""",
+    "otsu_levels": f"""WITH {_PAGE}, h AS (SELECT d, v, count(*) AS n FROM page GROUP BY 1, 2), t AS (SELECT d, unnest(range(0, 256)) AS v FROM (SELECT DISTINCT d FROM h)),
+s AS (SELECT t.d, t.v, sum(coalesce(n, 0)) OVER w AS below, sum(coalesce(n, 0) * t.v) OVER w AS part, sum(coalesce(n, 0)) OVER (PARTITION BY t.d) AS total, sum(coalesce(n, 0) * t.v) OVER (PARTITION BY t.d) AS whole
+  FROM t LEFT JOIN h ON h.d = t.d AND h.v = t.v WINDOW w AS (PARTITION BY t.d ORDER BY t.v ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT d, v, below, CASE WHEN below > 0 AND below < total THEN CAST(below AS DOUBLE) * (total - below) * power(CAST(part AS DOUBLE) / below - CAST(whole - part AS DOUBLE) / (total - below), 2) ELSE 0 END AS apart FROM s),
+m AS (SELECT *, max(apart) OVER (PARTITION BY d) AS best FROM b)
+SELECT d AS drawing_id, CAST(min(v) AS INTEGER) AS level, CAST(min(below) AS BIGINT) AS dark FROM m WHERE apart >= best * (1 - 1e-12) GROUP BY 1""",
+    "morphology_pixels": f"""WITH {_PAGE}, ink AS (SELECT d, y, x FROM page WHERE v < 128),
+er AS (SELECT i.d, i.y, i.x FROM page i WHERE NOT EXISTS (SELECT 1 FROM (VALUES (-1), (0), (1)) a(p), (VALUES (-1), (0), (1)) b(q), page o WHERE o.d = i.d AND o.y = i.y + p AND o.x = i.x + q AND o.v >= 128)),
+lo AS (SELECT i.d, i.y, i.x FROM page i WHERE NOT EXISTS (SELECT 1 FROM (VALUES (-1), (0)) a(p), (VALUES (-1), (0), (1)) b(q), page o WHERE o.d = i.d AND o.y = i.y + p AND o.x = i.x + q AND o.v >= 128)),
+op AS (SELECT DISTINCT l.d, l.y + p AS y, l.x + q AS x FROM lo l, (VALUES (-1), (0)) a(p), (VALUES (-1), (0), (1)) b(q)),
+di AS (SELECT DISTINCT i.d, i.y + p AS y, i.x + q AS x FROM ink i, (VALUES (-1), (0)) a(p), (VALUES (-1), (0)) b(q))
+SELECT o.d AS drawing_id, 'opened' AS kind, CAST(o.y AS INTEGER) AS y, CAST(o.x AS INTEGER) AS x FROM op o SEMI JOIN page USING (d, y, x) UNION ALL SELECT d, 'eroded', y, x FROM er
+UNION ALL SELECT d, 'added', y, x FROM (SELECT * FROM di SEMI JOIN page USING (d, y, x)) ANTI JOIN ink USING (d, y, x)""",
+    "ink_components": f"""WITH RECURSIVE {_PAGE}, ink AS (SELECT d, y, x, y * 1000 + x AS k FROM page WHERE v < 70),
+near AS (SELECT a.d, a.k AS a, b.k AS b FROM ink a JOIN ink b ON a.d = b.d AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+wide AS (SELECT d, k, k AS r FROM ink UNION SELECT w.d, n.b, w.r FROM wide w JOIN near n ON n.d = w.d AND n.a = w.k), c AS (SELECT d, k, min(r) AS r FROM wide GROUP BY 1, 2)
+SELECT d AS drawing_id, CAST(min(k % 1000) AS INTEGER) AS x0, CAST(min(k // 1000) AS INTEGER) AS y0, CAST(max(k % 1000) + 1 AS INTEGER) AS x1, CAST(max(k // 1000) + 1 AS INTEGER) AS y1, CAST(count(*) AS INTEGER) AS area FROM c GROUP BY d, r HAVING count(*) >= 3""",
+    "wire_attachments": f"""WITH {_PAGE}, ink AS (SELECT d, y, x FROM page WHERE v < 90),
+hit AS (SELECT DISTINCT d, 'top' AS side, x AS p FROM ink WHERE y BETWEEN 2 AND 5 AND x BETWEEN 7 AND 15 UNION SELECT DISTINCT d, 'bottom', x FROM ink WHERE y BETWEEN 13 AND 16 AND x BETWEEN 7 AND 15
+  UNION SELECT DISTINCT d, 'left', y FROM ink WHERE x BETWEEN 3 AND 6 AND y BETWEEN 6 AND 12 UNION SELECT DISTINCT d, 'right', y FROM ink WHERE x BETWEEN 16 AND 19 AND y BETWEEN 6 AND 12),
+runs AS (SELECT d, side, min(p) AS a, max(p) AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY d, side ORDER BY p) AS g FROM hit) GROUP BY d, side, g HAVING count(*) >= 2)
+SELECT d AS drawing_id, CAST(CASE side WHEN 'left' THEN 7 WHEN 'right' THEN 16 ELSE 7 + ((a - 7) + (b - 7)) // 2 END AS INTEGER) AS x, CAST(CASE side WHEN 'top' THEN 6 WHEN 'bottom' THEN 13 ELSE 6 + ((a - 6) + (b - 6)) // 2 END AS INTEGER) AS y,
+  CAST(CASE side WHEN 'top' THEN 270 WHEN 'bottom' THEN 90 WHEN 'left' THEN 180 ELSE 0 END AS DOUBLE) AS direction_deg FROM runs""",
+    "interpreted_pages": """WITH k AS (SELECT s_suppkey AS k, 10 + s_suppkey % 9 AS a, 90 + s_suppkey % 11 AS b, CASE WHEN s_suppkey % 2 = 0 THEN 'R' || (s_suppkey % 900) ELSE 'SYM_000' END AS id FROM supplier)
+SELECT CAST(k AS VARCHAR) AS drawing_id, '{"symbols":[{"id":"' || id || '","type":"' || 'Tall' || '","coordinates":[' || a || ',20,' || (a + 20) || ',40],"connections":[' || CASE WHEN k % 3 > 0 THEN '"SYM_001"' ELSE '' END
+  || ']},{"id":"SYM_001","type":"Wide","coordinates":[' || b || ',20,' || (b + 26) || ',36],"connections":[' || CASE WHEN k % 3 > 0 THEN '"' || id || '"' ELSE '' END || ']}]}' AS json FROM k""",
 }

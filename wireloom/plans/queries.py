@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions import geometry as G
 from wireloom.functions import text as T
-from wireloom.operators import boxes, evidence, graph, matching, runs, text
-from wireloom.plans import bind, evaluate
+from wireloom.config import Config
+from wireloom.operators import boxes, evidence, graph, matching, raster, runs, specialists, text
+from wireloom.plans import bind, evaluate, interpret
 from wireloom.shipping import shipped
-from wireloom.sinks import netlists
-from wireloom.sources import domains, readings
+from wireloom.sinks import netlists, sheets
+from wireloom.sources import domains, kicad, library, readings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 D = "drawing_id"
@@ -134,7 +137,7 @@ def text_prior_evidence(spark, sf_dir):
 
 @query
 def router_scores(spark, sf_dir):
-    packs = {n: (list(p.prefixes), p.keywords) for n, p in domains.PACKS.items()}
+    packs = {n: (list(p.prefixes), p.keywords) for n, p in domains.packs().items()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return text.router_scores(docs, packs).select("doc_id", "electronic", "pid", "domain")
 
@@ -216,13 +219,16 @@ def net_connections(spark, sf_dir):
 
 @query
 def connected_components(spark, sf_dir):
-    """Orders chained to the next order of the same customer."""
+    """Orders chained to the next order of the same customer, and some customers' first orders to the last of another."""
     from pyspark.sql import Window
 
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     line = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    edges = orders.select(F.lit(0).alias(D), F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(line).alias("b")).where("b is not null")
-    return graph.roots(edges, [D]).select("node", "root")
+    chain = orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(line).alias("b")).where("b is not null")
+    ends = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    other = ends.select((F.col("o_custkey") + 3).alias("o_custkey"), "b")
+    linked = ends.drop("b").where("o_custkey % 16 < 11").join(other, "o_custkey").select("a", "b")
+    return graph.roots(chain.union(linked).select(F.lit(0).alias(D), "a", "b"), [D]).select("node", "root")
 
 
 @query
@@ -333,3 +339,186 @@ def response_keys(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     asked = docs.select("doc_id", readings.key(F.col("text"), "model", "conf=0.35").alias("key"))
     return asked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query
+def unmatched_symbols(spark, sf_dir):
+    gold, pred, found = _matched(spark, sf_dir)
+    left = gold.withColumnRenamed("idx", "gi").join(found, [D, "gi"], "left_anti").select(D, F.lit("golden").alias("side"), F.col("gi").alias("idx"), "type")
+    right = pred.withColumnRenamed("idx", "pi").join(found, [D, "pi"], "left_anti").select(D, F.lit("predicted").alias("side"), F.col("pi").alias("idx"), "type")
+    return left.unionByName(right)
+
+
+@query
+def specialist_rules(spark, sf_dir):
+    facts = bind.lines(spark, sf_dir).select(
+        D, "idx", F.expr("if(l_partkey % 9 = 0, null, cast(l_partkey % 6 as int))").alias("plates"), F.expr("if(l_partkey % 9 = 0, null, l_suppkey % 3 = 0)").alias("curved"),
+        F.expr("if(l_partkey % 9 = 0, null, l_linenumber % 2 = 0)").alias("plus"), F.expr("l_suppkey % 4 = 0").alias("circle"), F.expr("l_partkey % 2 = 0").alias("rectangle"),
+    )
+    said = facts.select(D, "idx", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), rule().alias("e")) for n, rule in specialists.SAYS.items()])).alias("s"))
+    return said.select(D, "idx", F.col("s.name").alias("name"), F.explode("s.e").alias("e")).select(D, "idx", "name", "e.class", "e.score", "e.confidence")
+
+
+@query
+def arc_circles(spark, sf_dir):
+    p = bind.gold(bind.lines(spark, sf_dir))
+    d = lambda c: F.col(c).cast("double")
+    x, y, r = G.circle_through((d("x0"), d("y0")), (d("x1"), d("y1")), (d("x1"), d("y0") + F.expr("idx % 3")))
+    return p.select(D, "idx", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(r, 6).alias("radius"))
+
+
+def _primitives(spark, sf_dir):
+    """A library symbol per order: its lines are primitives in turn."""
+    p = lambda x, y: f"named_struct('x', cast({x} as double), 'y', cast({y} as double))"
+    a, b = p("l_partkey % 13", "l_suppkey % 11"), p("l_partkey % 7 - 9", "l_suppkey % 5 - 4")
+    kind = "CASE l_partkey % 4 WHEN 0 THEN 'polyline' WHEN 1 THEN 'circle' WHEN 2 THEN 'rectangle' ELSE 'pin' END"
+    points = f"CASE WHEN l_partkey % 2 = 1 THEN array({a}) ELSE array({a}, {b}) END"
+    rest = ("cast(l_suppkey % 4 + 0.5 as double) AS radius", "cast(90 * (l_suppkey % 4) as double) AS angle", "cast(l_linenumber * 1.27 as double) AS length", "cast(idx as string) AS number")
+    return bind.lines(spark, sf_dir).selectExpr("drawing_id AS symbol", "idx AS ord", f"{kind} AS kind", f"{points} AS points", *rest)
+
+
+@query
+def symbol_bounds(spark, sf_dir):
+    found = kicad.bounds(_primitives(spark, sf_dir), ["symbol"])
+    return found.select("symbol", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query
+def symbol_terminals(spark, sf_dir):
+    return kicad.terminals(_primitives(spark, sf_dir), ["symbol"]).select("symbol", "ord", "number", "x", "y")
+
+
+@query
+def library_templates(spark, sf_dir):
+    """Parts are reference pictures with two terminals each; all eight variants."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_brand AS class", "p_partkey AS name", "cast(20 + p_size as int) AS width", "cast(30 + p_partkey % 17 as int) AS height")
+    ends = parts.select("class", "name", F.explode(F.expr("""array(
+        named_struct('idx', 0, 'terminal', 'A', 'x', 0, 'y', cast(height div 2 as int), 'body_x', 5, 'body_y', cast(height div 2 as int)),
+        named_struct('idx', 1, 'terminal', 'B', 'x', width - 1, 'y', cast(name % 20 as int), 'body_x', width - 6, 'body_y', 3))""")).alias("e")).select("class", "name", "e.*")
+    found = library.templates(ends, parts)
+    return found.select("name", "turn", "mirrored", "idx", "terminal", *[F.round(c, 9).alias(c) for c in ("tx", "ty", "bx", "by")])
+
+
+@query
+def probe_topk(spark, sf_dir):
+    """A linear probe of four classes whose weights follow from their places."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    weights = np.array([[((k + 1) * (j + 3) % 11) - 5 for j in range(64)] for k in range(4)], dtype=float)
+    return evidence.probe(rows, weights, np.array([0.1, 0.2, 0.3, 0.4]), list("abcd")).select("query_id", "rank", "class", F.round("probability", 6).alias("probability"))
+
+
+@query
+def template_choice(spark, sf_dir):
+    lines = bind.lines(spark, sf_dir)
+    won = lines.select(D, "idx", F.col("l_returnflag").alias("class"))
+    near = lines.where("l_partkey % 3 = 0").select(D, "idx", F.expr("if(l_partkey % 2 = 0, l_returnflag, 'X')").alias("class"), F.expr("cast(l_suppkey % 16 as int)").alias("entry"))
+    rows = [(c, 8 * n + k, 90 * ((k + n) % 4), k % 2 == 1) for n, c in enumerate(("A", "R")) for k in range(8)]
+    return evidence.template_of(won, near, spark.createDataFrame(rows, "class string, entry int, turn int, mirrored boolean"), [D, "idx"]).select(D, "idx", "class", "entry")
+
+
+@query
+def node_link_json(spark, sf_dir):
+    lines = bind.lines(spark, sf_dir)
+    net = F.format_string("N%03d", F.col("net_ord"))
+    symbols = bind.gold(lines).select(D, F.format_string("SYM_%03d", F.col("idx")).alias("node"), F.lit("symbol").alias("kind"), F.col("type").alias("label"))
+    members = bind.members(lines)
+    nodes = symbols.unionByName(members.select(D, net.alias("node"), F.lit("net").alias("kind"), F.lit("").alias("label")).distinct())
+    return netlists.node_link(nodes, members.select(D, F.format_string("SYM_%03d", F.col("idx")).alias("a"), net.alias("b")))
+
+
+@query
+def type_palette(spark, sf_dir):
+    named = bind.gold(bind.lines(spark, sf_dir), F.expr("if(l_partkey % 10 = 0, 'Unknown', concat(l_returnflag, l_linestatus, l_linenumber))").alias("kind"))
+    return sheets.coloured(named.drop("type").withColumnRenamed("kind", "type")).select(D, "idx", "type", "colour")
+
+
+@query
+def component_sizes(spark, sf_dir):
+    lines = bind.lines(spark, sf_dir)
+    symbols = lines.select(D, F.col("idx").alias("id"))
+    edges = lines.where("l_partkey % 3 > 0").select(D, F.col("idx").alias("a"), F.expr("cast(l_suppkey % 7 as int)").alias("b"))
+    edges = edges.join(symbols.withColumnRenamed("id", "b"), [D, "b"], "left_semi")
+    return sheets.components(symbols, edges).select(D, "id", "part", "size")
+
+
+#: Pictures of the queries: a gray value for each place of a customer's page, 24 by 20.
+WIDE, HIGH = 24, 20
+
+
+def _pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS drawing_id")
+
+
+def _values(key: int) -> np.ndarray:
+    y, x = np.mgrid[:HIGH, :WIDE]
+    return ((x * x + 3 * y * (key % 7 + 1) + (x // 6) * (y // 5) * 29 + key * 11) % 256).astype(np.uint8)
+
+
+def _each(spark, sf_dir, work: Callable, schema: str) -> DataFrame:
+    """Rows that work(key, picture) gives for each page; its column names go with the schema."""
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, *row) for k in frame["drawing_id"] for row in work(k, _values(k))]
+            yield pd.DataFrame(rows, columns=["drawing_id", *(c.split()[0] for c in schema.split(", "))])
+
+    return _pages(spark, sf_dir).mapInPandas(make, f"drawing_id long, {schema}")
+
+
+@query
+def otsu_levels(spark, sf_dir):
+    return _each(spark, sf_dir, lambda k, p: [(raster.otsu(p), int((p <= raster.otsu(p)).sum()))], "level int, dark long")
+
+
+@query
+def morphology_pixels(spark, sf_dir):
+    """Ink of a page that a 3 by 2 opening keeps, that a 3 by 3 erosion keeps, and that a 2 by 2 dilation adds."""
+
+    def work(key, picture):
+        mask = picture < 128
+        kinds = {"opened": raster.opened(mask, raster.box(2, 3)), "eroded": raster.eroded(mask, raster.box(3, 3)), "added": raster.dilated(mask, raster.box(2, 2)) & ~mask}
+        return [(kind, int(y), int(x)) for kind, m in kinds.items() for y, x in zip(*np.nonzero(m))]
+
+    return _each(spark, sf_dir, work, "kind string, y int, x int")
+
+
+@query
+def ink_components(spark, sf_dir):
+    """Box and area of each component of a page's ink, 8-connected, specks under three pixels left out."""
+    return _each(spark, sf_dir, lambda k, p: raster.stats(raster.labels(raster.without_speckles(p < 70, 3))), "x0 int, y0 int, x1 int, y1 int, area int")
+
+
+@query
+def wire_attachments(spark, sf_dir):
+    """Where a page's ink reaches a box in its middle."""
+    return _each(spark, sf_dir, lambda k, p: raster.attachments(p < 90, 7, 6, 16, 13, 4, 2), "x int, y int, direction_deg double")
+
+
+@query
+def interpreted_pages(spark, sf_dir):
+    """A supplier's page: two blocks and a wire between them, whole or with a gap; from pixels to JSON."""
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k in frame["k"]:
+                page = np.full((60, 140, 1), 255, np.uint8)
+                a, b = 10 + k % 9, 90 + k % 11
+                page[20:40, a : a + 20] = 0
+                page[20:36, b : b + 26] = 0
+                page[28:30, a + 20 : b] = 0
+                if k % 3 == 0:
+                    page[28:30, 55:70] = 255
+                out.append((str(k), 60, 140, 1, page.tobytes()))
+            yield pd.DataFrame(out, columns=["drawing_id", "height", "width", "channels", "data"])
+
+    def blocks(picture: np.ndarray) -> list[dict]:
+        solid = raster.stats(raster.labels(raster.opened(picture < 128, raster.box(10, 10))))
+        return [{"x0": x0, "y0": y0, "x1": x1, "y1": y1, "kind": "symbol", "class": "Tall" if y1 - y0 > 18 else "Wide", "confidence": 0.9, "source": "synthetic_yolo"} for x0, y0, x1, y1, _ in sorted(solid)]
+
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS k")
+    images = keys.mapInPandas(drawn, "drawing_id string, height int, width int, channels int, data binary")
+    keys = images.select(D, F.col(D).cast("long").alias("k"))
+    tokens = keys.where("k % 2 = 0").select(D, F.lit(0).alias("ord"), F.concat(F.lit("R"), F.expr("k % 900"), F.lit(" 10K")).alias("text"), F.lit(12).alias("x0"), F.lit(5).alias("y0"), F.lit(28).alias("x1"), F.lit(15).alias("y1"), F.lit(0.9).alias("confidence"), F.lit(0).alias("orientation"))
+    found = interpret.interpret(spark, images, Config(domain="electronic"), interpret.Given(tokens=tokens, detect=blocks))
+    return found["json"]

@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
     here = Path(__file__).parent
     at = Path(tempfile.mkdtemp())
     with zipfile.ZipFile(at / "wireloom.zip", "w") as z:
-        for p in sorted(here.rglob("*.py")):
+        for p in sorted([*here.rglob("*.py"), *here.rglob("*.json")]):
             z.write(p, f"wireloom/{p.relative_to(here)}")
     context.addPyFile(str(at / "wireloom.zip"))
     atexit.register(shutil.rmtree, at, True)  # executors fetch it from the driver as they come

@@ -29,11 +29,11 @@ def symbols(read: DataFrame) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Terminals of reference pictures (<class>/<name>.terminals.json): class, name, idx, terminal, x, y, body_x, body_y.
+    """Terminals of reference pictures (<class>/<name>.terminals.json under path): class, name, idx, terminal, x, y, body_x, body_y.
 
     A missing body is the point itself.
     """
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<struct<name:string,point:array<int>,body:array<int>>>").alias("t"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.terminals.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<struct<name:string,point:array<int>,body:array<int>>>").alias("t"))
     one = read.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("class"), F.regexp_replace(stem(F.col("file")), r"\.terminals$", "").alias("name"), F.posexplode("t").alias("idx", "t"))
     body = F.coalesce("t.body", "t.point")
     return one.select("class", "name", "idx", F.col("t.name").alias("terminal"), F.col("t.point")[0].alias("x"), F.col("t.point")[1].alias("y"), body[0].alias("body_x"), body[1].alias("body_y"))

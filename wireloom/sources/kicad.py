@@ -1,4 +1,4 @@
-"""Symbols from S-expression library files, as a table function over whole files.
+"""Symbols from S-expression library files, read whole, and their pictures.
 
 Primitives come out one to a row: symbol, kind (polyline, circle, rectangle, arc, pin), its points,
 radius, angle, length and number.  Nested symbols are units of the symbol around them.
@@ -10,9 +10,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wireloom.operators import raster
+
 _ITEM = re.compile(r'\(|\)|"(?:[^"\\]|\\.)*"|[^\s()"]+')
 FIELDS = "symbol string, ord int, kind string, points array<struct<x:double,y:double>>, radius double, angle double, length double, number string"
 
@@ -82,16 +86,15 @@ def rows(text: str) -> Iterator[tuple]:
 
 def symbols(spark: SparkSession, path: str) -> DataFrame:
     """file and the primitives of every library file under path."""
-    from pyspark.sql.functions import udtf
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    names = ["file", *(x.split(" ")[0] for x in FIELDS.split(", "))]
 
-    @udtf(returnType=FIELDS)
-    class Primitives:
-        def eval(self, text: str):
-            yield from rows(text or "")
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, text in zip(frame["file"], frame["value"]):
+                yield pd.DataFrame([(file, *row) for row in rows(text or "")], columns=names)
 
-    spark.udtf.register("kicad_primitives", Primitives)
-    spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").createOrReplaceTempView("kicad_files")
-    return spark.sql("SELECT file, p.* FROM kicad_files, LATERAL kicad_primitives(value) p")
+    return files.mapInPandas(make, f"file string, {FIELDS}")
 
 
 def bounds(primitives: DataFrame, by: list[str]) -> DataFrame:
@@ -125,3 +128,59 @@ def arc_angles(start: tuple[float, float], mid: tuple[float, float], end: tuple[
     if (m - a) % 360 > (e - a) % 360:
         a, e = e, a
     return a, a + (e - a) % 360
+
+
+def centre(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> tuple[float, float] | None:
+    """The middle of the circle through three points; none if they're nearly on a line."""
+    m = 2 * np.array([[b[0] - a[0], b[1] - a[1]], [c[0] - a[0], c[1] - a[1]]])
+    if abs(np.linalg.det(m)) < 1e-6:
+        return None
+    square = lambda p: p[0] ** 2 + p[1] ** 2
+    x, y = np.linalg.solve(m, [square(b) - square(a), square(c) - square(a)])
+    return float(x), float(y)
+
+
+def drawn(parts: list[tuple], box: tuple[float, float, float, float], scale: float = 20.0, margin: int = 12) -> np.ndarray:
+    """A gray picture of primitives (kind, points, radius, angle, length), black on white; box: their bounds x0, y0, x1, y1, y up."""
+    x0, y0, x1, y1 = box
+    canvas = np.full((max(int((y1 - y0) * scale) + 2 * margin, 20), max(int((x1 - x0) * scale) + 2 * margin, 20)), 255, np.uint8)
+    thickness = max(1, int(scale * 0.05))
+    on = lambda p: (int((p[0] - x0) * scale) + margin, int((y1 - p[1]) * scale) + margin)
+    for kind, points, radius, angle, length in parts:
+        at = [on(p) for p in points]
+        if kind == "polyline":
+            raster.line(canvas, at, thickness)
+        elif kind == "circle":
+            raster.arc(canvas, *at[0], max(1, int(radius * scale)), thickness)
+        elif kind == "rectangle":
+            (ax, ay), (bx, by) = at
+            raster.line(canvas, [(ax, ay), (bx, ay), (bx, by), (ax, by), (ax, ay)], thickness)
+        elif kind == "arc":
+            middle = centre(*at)
+            if middle is None:
+                raster.line(canvas, at, thickness)
+            else:
+                start, end = arc_angles(*at, middle)
+                raster.arc(canvas, *middle, math.dist(middle, at[0]), thickness, start, end)
+        elif kind == "pin" and length and length > 0:
+            (px, py), a = points[0], math.radians(angle)
+            raster.line(canvas, [at[0], on((px + length * math.cos(a), py + length * math.sin(a)))], thickness)
+    return canvas
+
+
+def pictures(primitives: DataFrame, scale: float = 20.0, margin: int = 12) -> DataFrame:
+    """(file, symbol, height, width, data): a picture of every symbol, a gray byte a pixel. A symbol's primitives are few."""
+    boxed = primitives.join(bounds(primitives, ["file", "symbol"]), ["file", "symbol"])
+    part = F.struct("ord", "kind", "points", "radius", "angle", "length")
+    each = boxed.groupBy("file", "symbol", "x0", "y0", "x1", "y1").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                parts = [(p["kind"], [(q["x"], q["y"]) for q in p["points"]], p["radius"], p["angle"], p["length"]) for p in r.parts]
+                picture = drawn(parts, (r.x0, r.y0, r.x1, r.y1), scale, margin)
+                out.append((r.file, r.symbol, *picture.shape, picture.tobytes()))
+            yield pd.DataFrame(out, columns=["file", "symbol", "height", "width", "data"])
+
+    return each.mapInPandas(make, "file string, symbol string, height int, width int, data binary")
