@@ -112,3 +112,18 @@ def test_recall_on_fifty_thousand_vectors(spark):
         s[k] = -np.inf
         hits += len({int(i) for i in ids[np.lexsort((ids, -s))[:20]]} & {i for i, _ in found[ids[k]]})
     assert hits / (20 * len(some)) >= 0.95
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    """Lists of more rows than a block, and bundles of more queries, are dealt out without change."""
+    rnd = np.random.default_rng(4)
+    rows = [(k, rnd.normal(size=8).tolist() if k % 3 else [1.0, 2.0] * 4) for k in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = answers(ann.search(df))
+    monkeypatch.setattr(ann, "ROWS", 40)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "STEP", 500)
+    found = answers(ann.search(df))
+    want = brute(rows)
+    assert found.keys() == whole.keys() == want.keys() and recall(found, want) >= 0.93 and recall(whole, want) >= 0.93
+    assert ann.bundles(np.array([5, 0, 3, 9, 1, 1]), 8)[0].tolist() == [0, 0, 0, 1, 2, 2] and ann.bundles(np.array([5, 0, 3, 9, 1, 1]), 8)[1].tolist() == [1, 2, 1]

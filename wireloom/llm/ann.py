@@ -7,9 +7,9 @@ can fit.  The number of lists that a
 query probes is fitted on the sample too, with queries that the centroids haven't seen: the fewest lists that hold REACH of the true
 neighbours within the sample; a query whose lists hold too few rows goes on to further lists.
 
-A list is dealt into blocks of rows and its queries into blocks too, so a list may hold any
-share of the rows or queries; each pair of blocks is one bounded group.  There, a table of
-inner products of the query with the codebooks (asymmetric distances) ranks the rows' codes, those
+Small lists share a bundle; a list of more rows than a bundle holds is dealt into blocks, and a bundle's queries into blocks too, so a
+list may hold any share of the rows or queries; each pair of blocks is one bounded group.  There, a table of
+inner products of the query with the codebooks (asymmetric distances) ranks the codes of the rows in the lists that it probes, those
 near the best are ranked again by exact inner products in double precision, and the best TOP go on.
 Equal vectors share a code and are ranked once; of them the TOP + 1 smallest ids go on, more can't be among the nearest.
 
@@ -41,8 +41,8 @@ REACH = 0.97
 #: Rows ranked exactly: those whose asymmetric score is at most so many standard errors below the TOP-th best, and SHORTLIST at least.
 ERRORS = 2.0
 SHORTLIST = 64
-#: Rows and queries in a group, at most.
-ROWS, QUERIES = 1 << 15, 1 << 13
+#: Rows and queries in a group, at most; groups of a search, at least.
+ROWS, QUERIES, GROUPS = 1 << 13, 1 << 12, 24
 #: Scores that are held at once.
 STEP = 1 << 20
 
@@ -185,53 +185,83 @@ def searched(rows: DataFrame, d: int, n: int, top: int, every: int) -> DataFrame
     many = np.zeros(index.lists, dtype=np.int64)
     for r in placed.groupBy("list").count().collect():
         many[r["list"]] = r["count"]
-    filled = spark.sparkContext.broadcast(many)
+    bundle, shares = bundles(many, ROWS)
+    filled = spark.sparkContext.broadcast((many, bundle))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and bundle that holds lists which it probes."""
+        many, bundle = filled.value
         for batch in batches:
             q = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(-1, d)
-            lists = held.value.probe(q, filled.value, top + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in q], pa.binary()), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["asker", "query_id", "q", "lists"])
-
-    asked = kept(rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(ask, "asker long, query_id long, q binary, lists array<int>"))
-    wanted = dict(map(tuple, asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()))
-    dealt = [(k, -(-int(many[k]) // ROWS), -(-wanted[k] // QUERIES)) for k in sorted(wanted) if many[k]]
-    dealt = F.broadcast(spark.createDataFrame(dealt, "list int, shares int, turns int"))
-    left = placed.join(dealt, "list").withColumn("block", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
+            who, where, which = [], [], []
+            for i, lists in enumerate(held.value.probe(q, many, top + 1)):
+                lists = lists[many[lists] > 0]
+                lists = lists[np.argsort(bundle[lists], kind="stable")]
+                some, start = np.unique(bundle[lists], return_index=True)
+                who += [i] * len(some)
+                where += some.tolist()
+                which += [x.tolist() for x in np.split(lists, start[1:])] if len(some) else []
+            at = pa.array(who, pa.int64())
+            raw = pa.array([r.tobytes() for r in q], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), raw.take(at), pa.array(where, pa.int32()), pa.array(which, pa.list_(pa.int32()))], names=["asker", "query_id", "q", "bundle", "lists"])
+
+    asked = kept(rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(ask, "asker long, query_id long, q binary, bundle int, lists array<int>"))
+    wanted = dict(map(tuple, asked.groupBy("bundle").count().collect()))
+    least = -(-GROUPS // max(1, len(wanted)))
+    dealt = [(k, int(shares[k]), max(-(-n // QUERIES), min(n, least))) for k, n in sorted(wanted.items())]
+    # a row for each bundle, and for each list, about the square root of the table's rows
+    dealt = F.broadcast(spark.createDataFrame(dealt, "bundle int, shares int, turns int"))
+    of = F.broadcast(spark.createDataFrame([(k, int(bundle[k])) for k in np.flatnonzero(many).tolist()], "list int, bundle int"))
+    left = placed.join(of, "list").join(dealt, "bundle").withColumn("block", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
     left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("shares", "turns")
-    right = asked.select("asker", "query_id", "q", F.explode("lists").alias("list")).join(dealt, "list")
-    right = right.withColumn("turn", F.pmod(F.xxhash64("asker"), F.col("turns")).cast("int"))
+    right = asked.join(dealt, "bundle").withColumn("turn", F.pmod(F.xxhash64("asker"), F.col("turns")).cast("int"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares", "turns")
-    by = ["list", "block", "turn"]
+    by = ["bundle", "block", "turn"]
 
     def group(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int),) * 5 + (np.zeros(0),)]
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int),) * 4 + (np.zeros(0),)]
         if rows.num_rows and queries.num_rows:
-            row, ids = rows.column("row").to_numpy(), rows.column("vec_id").to_numpy()
-            order = np.lexsort((row, ids))
-            row, ids = row[order], ids[order]
+            row, ids, lists = (rows.column(c).to_numpy() for c in ("row", "vec_id", "list"))
+            order = np.lexsort((row, ids, lists))
+            row, ids, lists = row[order], ids[order], lists[order]
             v = matrix(rows.column("v").combine_chunks(), d)[order]
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             _, first, of = np.unique(v.view(np.dtype((np.void, 8 * d))).ravel(), return_index=True, return_inverse=True)
-            # the members of each distinct vector, smallest ids first
+            # distinct vectors in order of list, and the members of each, smallest ids first
+            place = np.argsort(first, kind="stable")
+            first, of = first[place], np.argsort(place)[of]
             members = np.argsort(of, kind="stable")
             count = np.bincount(of)
             starts = np.cumsum(count) - count
-            v, code = v[first], np.ascontiguousarray(code[first].T)
+            v, code, lists = v[first], np.ascontiguousarray(code[first].T), lists[first]
+            known, edge = np.unique(lists, return_index=True)
+            edge = np.append(edge, len(lists))
+            centers = held.value.center(known)
             asker, query_id = queries.column("asker").to_numpy(), queries.column("query_id").to_numpy()
             q = matrix(queries.column("q").combine_chunks(), d)
-            center = held.value.center(np.array([rows.column("list")[0].as_py()]))[0]
+            probed = np.zeros((len(q), len(known)), dtype=bool)
+            flat = queries.column("lists").combine_chunks()
+            at = np.searchsorted(known, flat.flatten().to_numpy())
+            hit = known[np.minimum(at, len(known) - 1)] == flat.flatten().to_numpy()
+            probed[np.repeat(np.arange(len(q)), np.diff(flat.offsets.to_numpy()))[hit], at[hit]] = True
             for k in range(0, len(q), step := max(1, STEP // len(first))):
                 part = q[k : k + step]
-                near = np.repeat((part @ center)[:, None], len(first), 1)
-                for m, (a, b, book) in enumerate(held.value.books):
-                    near += np.take(part[:, a:b] @ book.T, code[m], axis=1)
+                tables = [part[:, a:b] @ book.T for a, b, book in held.value.books]
+                base = part @ centers.T
+                near = np.full((len(part), len(first)), -np.inf)
+                for n, (a, b) in enumerate(zip(edge, edge[1:])):
+                    some = np.flatnonzero(probed[k : k + step, n])
+                    if len(some):
+                        total = np.repeat(base[some, n][:, None], b - a, 1)
+                        for m, table in enumerate(tables):
+                            total += table[some[:, None], code[m, a:b]]
+                        near[some, a:b] = total
+                good = np.isfinite(near)
                 if len(first) > SHORTLIST:
-                    edge = -np.partition(-near, (top - 1, SHORTLIST - 1), axis=1)
-                    reach = edge[:, top - 1] - ERRORS * held.value.error * np.sqrt((part * part).sum(axis=1))
-                    i, j = np.nonzero(near >= np.minimum(reach, edge[:, SHORTLIST - 1])[:, None])
-                else:
-                    i, j = map(np.ravel, np.indices(near.shape))
+                    best = -np.partition(-near, (top - 1, SHORTLIST - 1), axis=1)
+                    reach = best[:, top - 1] - ERRORS * held.value.error * np.sqrt((part * part).sum(axis=1))
+                    good &= near >= np.minimum(reach, best[:, SHORTLIST - 1])[:, None]
+                i, j = np.nonzero(good)
                 exact = (v[j] * part[i]).sum(axis=1)
                 keep = heads(i, np.lexsort((-exact, i)), top + 1)
                 i, j, exact = i[keep], j[keep], exact[keep]
@@ -243,15 +273,25 @@ def searched(rows: DataFrame, d: int, n: int, top: int, every: int) -> DataFrame
                 i, exact, member = i[other], exact[other], member[other]
                 keep = heads(i, np.lexsort((row[member], ids[member], -exact, i)), top)
                 i, exact, member = i[keep], exact[keep], member[keep]
-                found.append((asker[k + i], query_id[k + i], ids[member], row[member], i, exact))
-        columns = [np.concatenate(c) for c in zip(*found)]
-        return pa.table({"asker": columns[0], "query_id": columns[1], "vec_id": columns[2], "row": columns[3], "score": columns[5]})
+                found.append((asker[k + i], query_id[k + i], ids[member], row[member], exact))
+        return pa.table(dict(zip(("asker", "query_id", "vec_id", "row", "score"), map(np.concatenate, zip(*found)))))
 
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(group, "asker long, query_id long, vec_id long, row long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+def bundles(many: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's bundle, so that lists next to one another share one up to `most` rows, and into how many blocks each bundle's rows are dealt."""
+    bundle, filled = np.zeros(len(many), dtype=np.int64), [0]
+    for k, n in enumerate(many.tolist()):
+        if filled[-1] and filled[-1] + n > most:
+            filled.append(0)
+        bundle[k] = len(filled) - 1
+        filled[-1] += n
+    return bundle, np.maximum(-(-np.array(filled) // most), 1)
+
+
 def heads(group: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Of rows in order (group by group, ascending) the first so many of each group."""
     g = group[order]
