@@ -472,3 +472,17 @@ def test_kicad_pictures(spark, tmp_path):
     on = lambda x, y: a[int((2 - y) * 20) + 12, int((x + 2) * 20) + 12]
     assert all(on(*p) == 0 for p in ((-1, 0.5), (1, 1), (0, -1), (-1.5, 0), (0, 1.5), (0.5, 0), (0, 0.5), (1.5, 0.5))) and all(on(*p) == 255 for p in ((0, 0.2), (0.8, -0.5), (1.5, -0.5), (-1.5, 0.5)))
     assert (found["B"] == 0).sum() >= 40
+
+
+def test_reader_is_asked_in_each_turn_and_mode(spark):
+    """A reader that finds the dark block of a page; its box comes back to the upright page of the usual size."""
+    picture = np.full((30, 50, 1), 255, np.uint8)
+    picture[4:10, 20:40] = 0
+    images = spark.createDataFrame([("D", 30, 50, 1, bytearray(picture.tobytes()))], "drawing_id string, height int, width int, channels int, data binary")
+
+    def reader(page, mode):
+        ys, xs = np.nonzero(page < 128)
+        return [{"text": f"{mode}{page.shape[0] > page.shape[1]}", "conf": 80, "left": int(xs.min()), "top": int(ys.min()), "width": int(np.ptp(xs)) + 1, "height": int(np.ptp(ys)) + 1}] if mode != "none" else []
+
+    found = pictures.read(images, reader, Config(reading_modes=("a", "none"))).collect()
+    assert sorted((r.text, r.orientation, r.x0, r.y0, r.x1, r.y1, r.confidence) for r in found) == [("aFalse", 0, 20, 4, 40, 10, 0.8), ("aTrue", 90, 20, 4, 40, 10, 0.8), ("aTrue", 270, 20, 4, 40, 10, 0.8)]

@@ -34,8 +34,9 @@ UNKNOWN = "Unknown"
 class Given:
     """What a run is given besides pictures; all of it is optional."""
 
-    #: Readings as sources.readings.tokens gives them.
+    #: Readings as sources.readings.tokens gives them, or a reader, see pictures.read.
     tokens: DataFrame | None = None
+    reader: Callable | None = None
     #: Functions of a gray picture to boxes, see pictures.boxes; the second one's boxes are merged in.
     detect: Callable | None = None
     second: Callable | None = None
@@ -64,7 +65,9 @@ def interpret(spark: SparkSession, images: DataFrame, c: Config = Config(), give
         began = time.perf_counter()
         return df
 
-    tokens = given.tokens if given.tokens is not None else spark.createDataFrame([], TOKENS)
+    tokens = given.tokens
+    if tokens is None:
+        tokens = done("read", pictures.read(images, given.reader, c)) if given.reader else spark.createDataFrame([], TOKENS)
     packs = domains.packs(given.packs)
     routes = done("route", routed(images, tokens, packs, c))
     candidates = done("localize", located(images, tokens, c, given))

@@ -136,3 +136,30 @@ def nets(images: DataFrame, symbols: DataFrame, c: Config = Config()) -> DataFra
     """(drawing_id, net_ord, net_id, node) of each picture's wires."""
     pixels, spots = wire_pixels(images, symbols, c)
     return graph.nets(graph.rewired(pixels, spots))
+
+
+RAW = "drawing_id string, ord int, text string, conf string, left int, top int, width int, height int, orientation int, page_width int, page_height int"
+
+
+def read(images: DataFrame, reader: Callable[[np.ndarray, str], list[dict]], c: Config = Config()) -> DataFrame:
+    """Readings as sources.readings.tokens gives them: an injected reader is asked for each picture, enlarged, in each turn and mode.
+
+    reader(gray picture, mode) gives dicts of text, conf, left, top, width, height.  Nothing is deduplicated, as no mode reads best everywhere.
+    """
+    from wireloom.sources import readings
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                large, n = raster.enlarged(gray(row), c.reading_scale), 0
+                h, w = large.shape
+                for turn in c.reading_turns:
+                    page = np.ascontiguousarray(np.rot90(large, -turn // 90))
+                    for mode in c.reading_modes:
+                        for r in reader(page, mode):
+                            out.append((row.drawing_id, n, r["text"], str(r["conf"]), r["left"], r["top"], r["width"], r["height"], turn, w, h))
+                            n += 1
+            yield pd.DataFrame(out, columns=names(RAW))
+
+    return readings.tokens(images.mapInPandas(make, RAW), c.reading_scale)
