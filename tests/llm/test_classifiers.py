@@ -208,57 +208,117 @@ def test_chain_gains_over_one_model(monkeypatch):
     assert chain > area() + 0.005 and chain > 0.99
 
 
-def plain_fit(x, y, l2, steps):
-    """The same logistic regression on a dense matrix."""
+def plain_fit(x, y, l2, steps, width=None):
+    """The same logistic regression on a dense matrix; width: columns that the penalty is spread over. Weights of columns, then the bias."""
     w, m1, m2 = np.zeros(x.shape[1] + 1), 0.0, 0.0
-    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    w[-1] = np.log(rate / (1 - rate))
     for t in range(1, steps + 1):
         g = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
-        grad = np.append(x.T @ g / len(y) + l2 * w[:-1] / x.shape[1], g.mean())
+        grad = np.append(x.T @ g / len(y) + l2 * w[:-1] / (width or x.shape[1]), g.mean())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         w = w - 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)
     return w
 
 
-def test_quality_verdict_against_a_dense_model(spark):
-    """The verdict of a dense matrix of the same n-grams, folds, calibration and threshold, without hashing tables or sums in batches."""
-    rnd = np.random.default_rng(8)
-    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "st", "rk")]
-    make = lambda k: " ".join(rnd.choice(words[:40] if k % 2 else words[20:], 60))
-    rows = [(k, make(k)) for k in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+def dense(every, some):
+    """A column for each n-gram that four or more of the rows `some` hold; every: per row its n-grams and values."""
+    seen = {}
+    for i in some:
+        for g in every[i]:
+            seen[g] = seen.get(g, 0) + 1
+    column = {g: k for k, g in enumerate(sorted(g for g, n in seen.items() if n >= 4))}
+    x = np.zeros((len(every), len(column)))
+    for i, c in enumerate(every):
+        for g, v in c.items():
+            if g in column:
+                x[i, column[g]] = v
+    return x
+
+
+def dealt(y):
+    return [np.sort(np.concatenate([np.flatnonzero(y == c)[k::4] for c in (0, 1)])) for k in range(4)]
+
+
+def plain_quality(texts, some, y):
+    """Probabilities of good quality of all texts, from the labelled rows `some` (in order of id) and their labels."""
 
     def counted(text):
-        out, t = {}, text.lower()
-        ws = t.split()
+        out, t = {}, (text or "").lower()
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
         for family, found in enumerate((ws, [a + " " + b for a, b in zip(ws, ws[1:])], [t[i : i + 3] for i in range(len(t) - 2)])):
             for g in found:
                 out[family, g] = out.get((family, g), 0) + 1 / len(found) ** 0.5
         return out
 
-    every = [counted(t) for _, t in rows]
-    seen = {}
-    for c in every[:80]:
-        for g in c:
-            seen[g] = seen.get(g, 0) + 1
-    column = {g: i for i, g in enumerate(g for g, n in seen.items() if n >= 4)}
-    x = np.zeros((120, len(column)))
-    for i, c in enumerate(every):
-        for g, v in c.items():
-            if g in column:
-                x[i, column[g]] = v
-    y = np.arange(80) % 2
-    z = np.zeros(80)
-    for k in range(4):
-        held = np.concatenate([np.flatnonzero(y == c)[k::4] for c in (0, 1)])
-        rest = np.setdiff1d(np.arange(80), held)
-        w = plain_fit(x[rest], y[rest], 2e-3, 80)
-        z[held] = x[held] @ w[:-1] + w[-1]
+    x, y, z = dense([counted(t) for t in texts], some), np.asarray(y), np.zeros(len(y))
+    for held in dealt(y):
+        rest = np.setdiff1d(np.arange(len(y)), held)
+        w = plain_fit(x[some][rest], y[rest], 2e-3, 80)
+        z[held] = x[some][held] @ w[:-1] + w[-1]
     slope, shift = platt(z, y)
-    w = plain_fit(x[:80], y, 2e-3, 80)
-    want = sigmoid(slope * (x @ w[:-1] + w[-1]) + shift)
+    w = plain_fit(x[some], y, 2e-3, 80)
+    return sigmoid(slope * (x @ w[:-1] + w[-1]) + shift)
+
+
+def plain_toxicity(texts, some, y):
+    """Probabilities of the chain's last category; only the clusters of toxic rows are the operator's own."""
+
+    def held(text):
+        ws = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+        return {(0, w): 1.0 for w in ws} | {(n, w[:n]): 1.0 for w in ws for n in (3, 4, 5, 6) if len(w) >= n}
+
+    x, y = dense([held(t) for t in texts], some), np.asarray(y)
+    sparse_rows = [sparse(texts[i], toxicity.SPEC) for i in some]
+    targets = [*(k.astype(int) for k in toxicity.kinds(Rows(*zip(*sparse_rows)), y > 0)), y]
+    mine, earlier, whole = x[some], np.zeros((len(y), 0)), np.zeros((len(texts), 0))
+
+    def model(rows, target):
+        n1, share = max(int(target.sum()), 1), rows.mean(axis=0)
+        n0 = max(len(rows) - n1, 1)
+        one, zero = rows[target == 1].sum(axis=0) / n1, rows[target == 0].sum(axis=0) / n0
+        apart = (one - zero) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+        return np.abs(apart) >= toxicity.LEAST_Z
+
+    for target in targets:
+        if len(set(target)) < 2:
+            earlier, whole = np.column_stack((earlier, np.full(len(y), target.mean()))), np.column_stack((whole, np.full(len(texts), target.mean())))
+            continue
+        z = np.zeros(len(y))
+        for part in dealt(target):
+            rest = np.setdiff1d(np.arange(len(y)), part)
+            use = model(mine[rest], target[rest])
+            w = plain_fit(np.column_stack((mine[rest][:, use], earlier[rest])), target[rest], 2e-3, toxicity.STEPS, x.shape[1])
+            z[part] = np.column_stack((mine[part][:, use], earlier[part])) @ w[:-1] + w[-1]
+        slope, shift = platt(z, target)
+        use = model(mine, target)
+        w = plain_fit(np.column_stack((mine[:, use], earlier)), target, 2e-3, toxicity.STEPS, x.shape[1])
+        p = sigmoid(slope * (np.column_stack((x[:, use], whole)) @ w[:-1] + w[-1]) + shift)
+        earlier, whole = np.column_stack((earlier, sigmoid(slope * z + shift))), np.column_stack((whole, p))
+    return np.where([bool(t and t.strip()) for t in texts], whole[:, -1], 0.0)
+
+
+def test_quality_verdict_against_a_dense_model(spark):
+    """The verdict of a dense matrix of the same n-grams, folds, calibration and threshold, without hashing tables or sums in batches."""
+    rnd = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "st", "rk")]
+    make = lambda k: " ".join(rnd.choice(words[:40] if k % 2 else words[20:], 60))
+    rows = [(k, make(k)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    want = plain_quality([t for _, t in rows], np.arange(80), np.arange(80) % 2)
     found = {r.doc_id: r for r in quality.judge(docs, quality.train(docs, labels)).collect()}
     got = np.array([found[k].quality for k in range(120)])
     assert np.abs(got - want).max() < 0.02  # a few n-grams share a bucket
     assert [found[k].kept for k in range(120)] == [bool(p >= quality.KEEP and not plain_counts(t)[-1]) for (_, t), p in zip(rows, want)]
+
+
+def test_toxicity_against_dense_models():
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").drop_duplicates("doc_id").set_index("doc_id").text
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").groupby("doc_id").toxic.max()
+    labels = labels[labels.index.isin(docs.index)]
+    texts, at = [t[:20000] for t in docs], {i: k for k, i in enumerate(docs.index)}
+    some, y = np.array([at[i] for i in labels.index]), (labels.to_numpy() > 0).astype(int)
+    rows = Rows(*zip(*(sparse(texts[i], toxicity.SPEC) for i in some)))
+    got = toxicity.fit(rows, y > 0).probabilities(texts)[:, -1]
+    assert np.abs(got - plain_toxicity(texts, some, y)).max() < 1e-3
