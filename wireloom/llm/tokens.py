@@ -8,10 +8,12 @@ a bounded dictionary per Python worker holds their ids as bytes.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -45,6 +47,15 @@ class Chunks:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for null. About PART characters are split at a time."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings in lists, none of them in cycles
+        try:
+            return self.encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def encoded(self, texts: list[str | None]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
         rows: list[int] = []
         parts: list[tuple[str, bool]] = []
@@ -62,7 +73,11 @@ class Chunks:
 
     def put(self, out: list[list[bytes]], rows: list[int], parts: list[tuple[str, bool]]) -> None:
         if len(self.first) + len(self.later) > self.most or self.size > self.most_characters:
-            self.first, self.later, self.size = {}, {}, 0
+            # what was learned first is what occurs most
+            self.first, self.later = {}, dict(islice(self.later.items(), len(self.later) // 2))
+            self.size = sum(map(len, self.later))
+            if self.size > self.most_characters:
+                self.later, self.size = {}, 0
         get = self.later.get
         waiting = []
         for text, later in parts:
@@ -70,7 +85,7 @@ class Chunks:
             found = list(map(get, split))
             if not later:
                 found[0] = self.first.get(split[0])
-            waiting.append((split, found, [k for k, x in enumerate(found) if x is None] if None in found else ()))
+            waiting.append((split, found, missing(found)))
         self.learn(self.first, {s[0] for (s, _, new), (_, later) in zip(waiting, parts) if new and not new[0] and not later}, "", True)
         self.learn(self.later, {s[k] for (s, _, new), (_, later) in zip(waiting, parts) for k in new if k or later}, " ", True)
         for i, (split, found, new), (text, later) in zip(rows, waiting, parts):
@@ -90,6 +105,16 @@ class Chunks:
         return b"".join([first[parts[0]], *(rest.get(p) or self.later[p] for p in parts[1:])])
 
 
+def missing(found: list) -> list[int]:
+    """Where a list holds None."""
+    out, k = [], -1
+    try:
+        while True:
+            out.append(k := found.index(None, k + 1))
+    except ValueError:
+        return out
+
+
 def pieces(text: str) -> Iterator[tuple[str, bool]]:
     """A long text in pieces that are encoded by themselves, each with whether the space before it was cut off."""
     at, later = 0, False
@@ -105,7 +130,12 @@ def pieces(text: str) -> Iterator[tuple[str, bool]]:
 def sliced(ids: np.ndarray, sizes: np.ndarray, chunks: list[str]) -> list[bytes]:
     """The ids of chunks that were encoded in one string, told apart by the tokens' sizes in bytes."""
     ends = np.cumsum(sizes[ids])
-    lengths = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in chunks), dtype=np.int64, count=len(chunks)))
+    joined = np.frombuffer("".join(chunks).encode("utf-8", "surrogatepass"), np.uint8)
+    spaces = np.flatnonzero(joined == 32)
+    if len(spaces) == len(chunks):  # each chunk has the one that it begins with
+        lengths = np.append(spaces[1:], len(joined))
+    else:
+        lengths = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in chunks), dtype=np.int64, count=len(chunks)))
     at = (4 * np.searchsorted(ends, lengths, "right")).tolist()
     raw = ids.astype("<u4").tobytes()
     return [raw[a:b] for a, b in zip([0, *at], at)]
