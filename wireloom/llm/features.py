@@ -21,6 +21,8 @@ import numpy as np
 PIECE = 1 << 17
 #: Code points after which a word ends.
 WORD = 1 << 16
+#: Values of training rows that a step of a fit takes at once.
+PART = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(128, dtype=bool)
@@ -239,8 +241,9 @@ class Rows:
     """Sparse training rows over the buckets that at least `least` rows hold; further dense columns may follow."""
 
     def __init__(self, ids: list[np.ndarray], values: list[np.ndarray], least: int = 4):
-        at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_counts=True)
-        self.buckets = at[n >= least]
+        """ids: each row's buckets, ascending. Lists are emptied as they are taken over."""
+        ids, values = (x if isinstance(x, list) else list(x) for x in (ids, values))
+        self.buckets = self.held(ids, least)
         self.n, self.width = len(ids), len(self.buckets)
         row, col, val = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
         for k, (x, v) in enumerate(zip(ids, values)):
@@ -249,8 +252,21 @@ class Rows:
             row.append(np.full(int(ok.sum()), k, np.int32))
             col.append(found[ok].astype(np.int32))
             val.append(v[ok].astype(np.float32))
+            ids[k] = values[k] = None
         self.row, self.col, self.val = map(np.concatenate, (row, col, val))
 
+    @staticmethod
+    def held(ids: list[np.ndarray], least: int) -> np.ndarray:
+        """The buckets that so many rows hold; few buckets are counted in place."""
+        most = max((int(x[-1]) for x in ids if len(x)), default=0)
+        if most < 1 << 22:
+            count = np.zeros(most + 1, dtype=np.int32)
+            for x in ids:
+                count[x] += 1
+            return np.flatnonzero(count >= least)
+        at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_counts=True)
+        return at[n >= least]
+
     def fit(self, y: np.ndarray, rows: np.ndarray, dense: np.ndarray, l2: float = 2e-3, steps: int = 80, least_z: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
         """Logistic regression on some rows by full-batch Adam: weights of buckets, of dense columns, and the bias.
 
@@ -265,16 +281,24 @@ class Rows:
         target, m = y[pick].astype(float), int(pick.sum())
         at = np.cumsum(pick) - 1
         r, d = at[r], dense[pick]
-        edges, run = np.searchsorted(r, np.arange(m + 1)), np.zeros(len(r) + 1)
+        edges = np.searchsorted(r, np.arange(m + 1))
+        # rows in parts of about PART values, so that a step needs little memory
+        cuts = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(r), PART)), m)) if m else np.zeros(1, int)
         size = self.width + d.shape[1] + 1
         w, m1, m2 = np.zeros(size), np.zeros(size), np.zeros(size)
         rate = float(np.clip(target.mean() if m else 0.5, 1e-3, 1 - 1e-3))
         w[-1] = np.log(rate / (1 - rate))
         for t in range(1, steps + 1):
-            np.cumsum(w[c] * v, out=run[1:])
-            z = run[edges[1:]] - run[edges[:-1]] + d @ w[self.width : -1] + w[-1]
+            z, slope = d @ w[self.width : -1] + w[-1], np.zeros(self.width)
+            for low, high in zip(cuts, cuts[1:]):
+                run = np.concatenate(([0.0], np.cumsum(w[c[edges[low] : edges[high]]] * v[edges[low] : edges[high]])))
+                at_ = edges[low : high + 1] - edges[low]
+                z[low:high] += run[at_[1:]] - run[at_[:-1]]
             g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / max(m, 1)
-            grad = np.concatenate((np.bincount(c, weights=g[r] * v, minlength=self.width), d.T @ g, [g.sum()]))
+            for low, high in zip(cuts, cuts[1:]):
+                part = slice(edges[low], edges[high])
+                slope += np.bincount(c[part], weights=g[r[part]] * v[part], minlength=self.width)
+            grad = np.concatenate((slope, d.T @ g, [g.sum()]))
             grad[:-1] += l2 * w[:-1] / max(self.width, 1)
             m1 = 0.9 * m1 + 0.1 * grad
             m2 = 0.99 * m2 + 0.01 * grad * grad

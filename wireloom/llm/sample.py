@@ -22,6 +22,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, spec: Grams, r
     few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     few = few.join(documents.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    kind = np.int32 if spec.bits < 32 else np.int64
     # `rows` bounds the broadcast side, ids and labels only, and, after the aggregate, what is collected
     texts = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
@@ -30,13 +31,14 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, spec: Grams, r
             out = []
             for i, y, t in zip(*(c.to_pylist() for c in batch.columns)):
                 at, value = sparse(t, spec)
+                at = at.astype(kind)
                 out.append({"doc_id": i, "y": y, "at": at.tobytes(), "value": value.tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
 
     found = texts.mapInArrow(make, "doc_id long, y int, at binary, value binary").collect()
     found.sort(key=lambda r: r.doc_id)
     ids = np.array([r.doc_id for r in found], dtype=np.int64)
-    at = [np.frombuffer(r.at, np.int64) for r in found]
+    at = [np.frombuffer(r.at, kind) for r in found]
     value = [np.frombuffer(r.value, np.float32) for r in found]
     return ids, at, value, np.array([r.y for r in found], dtype=np.int64)
 
